@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylens.llm.simhash import op4_simhash
 from quarrylens.llm.token_counts import op5_token_counts
 from quarrylens.llm.token_ids import op6_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
         "op5_token_counts": op5_token_counts,
         "op6_token_ids": op6_token_ids,
     }
