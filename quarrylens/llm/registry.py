@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylens.llm.html_extraction import op9_html_extraction
 from quarrylens.llm.language_id import op10_language_id
 from quarrylens.llm.quality import op2_quality
+from quarrylens.llm.sentencepiece_wfst import op3_sentencepiece
 from quarrylens.llm.simhash import op4_simhash
 from quarrylens.llm.token_counts import op5_token_counts
 from quarrylens.llm.token_ids import op6_token_ids
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_quality": op2_quality,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_simhash": op4_simhash,
         "op5_token_counts": op5_token_counts,
         "op6_token_ids": op6_token_ids,
