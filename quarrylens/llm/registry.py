@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylens.llm.decontamination import op8_decontamination
 from quarrylens.llm.embedding_dedup import op7_embedding_dedup
 from quarrylens.llm.html_extraction import op9_html_extraction
 from quarrylens.llm.language_id import op10_language_id
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_token_ids": op6_token_ids,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_decontamination": op8_decontamination,
         "op9_html_extraction": op9_html_extraction,
         "op10_language_id": op10_language_id,
     }

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylens.llm.common import table, text_groups
 
@@ -231,6 +232,29 @@ def sentencepiece_encode(df: DataFrame, model_path: str, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
+def with_pieces(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """All columns but the text (and any of the new columns' names), with ids (array<int>), n_pieces and round_trip (the ids decode to the text; null counts as empty)."""
+    model = df.sparkSession.sparkContext.broadcast(Model(model_path))
+    other = [c for c in df.columns if c not in (text_col, "ids", "n_pieces", "round_trip")]
+    read = df.select(*other, F.col(text_col).alias("text"))
+    schema = df.select(*other).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = None
+        for batch in batches:
+            machine = machine or Transducer(model.value)
+            for a, texts in text_groups(batch.column(len(other))):
+                part = batch.slice(a, len(texts))
+                ids = [machine.encode(t) for t in texts]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
+                back = pa.array([machine.decode(x) == t for x, t in zip(ids, texts)])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(other)], lists, pa.array(lengths), back], [*other, "ids", "n_pieces", "round_trip"])
+
+    return read.mapInArrow(run, schema)
+
+
 def sentencepiece_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_crc32 (of the decoded UTF-8) and round_trip (decoded = text) of every row."""
     model = df.sparkSession.sparkContext.broadcast(Model(model_path))

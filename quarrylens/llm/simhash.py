@@ -57,16 +57,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, digest: bool = False) -> DataFrame:
+    """id and fp (the fingerprint as a signed long) of every row, and if asked for the MD5 digest of its text."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["id", "fp", "digest"][: batch.num_columns])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.md5(text_col).alias("digest")] if digest else []))
+    return read.mapInArrow(run, f"id {kind}, fp long" + (", digest string" if digest else ""))
 
 
 def merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -211,5 +212,22 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 6) -> DataFrame:
+    """One row of each class, with all its columns: the one of the least id (a null id is the greatest), then of the least text digest."""
+    spark = df.sparkSession
+    digested = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = scratch(spark, fingerprints(digested, "id", "text", shingle, digest=True), "fingerprints")
+    pairs = rows.groupBy("fp", "id", "digest").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n"))
+    nodes = scratch(spark, pairs.groupBy("fp").agg(least.alias("least")), "nodes")
+    roots = components(forest_links(nodes.select("fp"), budget)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    kept = scratch(spark, kept.select(F.col("least.id").alias("kept_id__"), F.coalesce("least.digest", F.lit("")).alias("kept_digest__"), F.col("least.n").alias("kept_n__")), "kept")
+    met = (df[id_col].eqNullSafe(F.col("kept_id__"))) & (F.coalesce(F.md5(df[text_col]), F.lit("")) == F.col("kept_digest__"))
+    alone = df.join(kept.where("kept_n__ = 1"), met, "left_semi")
+    equal = df.join(kept.where("kept_n__ > 1"), met, "left_semi").dropDuplicates([id_col, text_col])
+    return alone.union(equal)
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=3, budget=3).select("doc_id", "fingerprint", "component_id")
