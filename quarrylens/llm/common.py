@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +37,14 @@ def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def text_groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of consecutive texts of about `most` characters (a longer text is a run alone); null becomes empty."""
-    begin, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or ""
-        if run and size + len(t) > most:
-            yield begin, run
-            begin, run, size = i, [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield begin, run
+def text_groups(texts, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Runs of consecutive texts of an Arrow column of about `most` bytes, as (first row, texts); a longer text is a run alone; null becomes empty."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > begin and size + n > most:
+            yield begin, [t or "" for t in texts.slice(begin, i - begin).to_pylist()]
+            begin, size = i, 0
+        size += n
+    if begin < len(lengths):
+        yield begin, [t or "" for t in texts.slice(begin).to_pylist()]

@@ -13,6 +13,7 @@ state to give its bits. Texts are joined with a RESET symbol between them, so th
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 L, N, O, SPACE, WHITE, APOS, RESET = range(7)
 #: Symbols: 0 RESET, 1 letter, 2 number, 3 other, 4 and 5 apostrophe with one or two letters of a contraction,
@@ -107,20 +108,22 @@ def _cuts(sym: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def split_texts(texts: list[str], classes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The pre-tokens of all texts in order, and how many belong to each text."""
+def split_texts(texts: list[str], classes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens, the pre-tokens of all texts in order as places among them, and how many each text has."""
     joined = "\n".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths + 1) - 1  # where the joiner after each text stands
-    points[ends[:-1]] = SENTINEL
     if not len(points):
-        return [], np.zeros(len(texts), np.int64)
+        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1  # where the joiner after each text stands
+    joiners = ends[:-1]
+    after = np.ones(len(points), np.uint8)  # UTF-8 bytes of each code point
+    for least in (0x80, 0x800, 0x10000):
+        after += points >= least
+    after = np.cumsum(after, dtype=np.int64)
+    points[joiners] = SENTINEL
     cuts = np.flatnonzero(_cuts(_symbols(points, classes)))
-    bounds = np.append(cuts, len(points)).tolist()
+    places = np.append(np.where(cuts > 0, after[cuts - 1], 0), after[-1])
+    pieces = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(places), pa.py_buffer(joined.encode())).dictionary_encode()
     keep = points[cuts] != SENTINEL
-    pieces = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
-    if not keep.all():
-        pieces = [p for p, k in zip(pieces, keep.tolist()) if k]
-    of_text = np.searchsorted(ends, cuts[keep], side="left")
-    return pieces, np.bincount(of_text, minlength=len(texts))
+    index = pieces.indices.to_numpy()[keep].astype(np.int64)
+    return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), index, np.diff(np.searchsorted(cuts[keep], ends), prepend=0)

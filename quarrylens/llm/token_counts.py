@@ -186,8 +186,8 @@ def read_bpe(path: str) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes], int
     return vocab, {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}, special
 
 
-def pieces_of(texts: list[str], classes: np.ndarray, special: list[str]) -> tuple[list[str], np.ndarray]:
-    """The pre-tokens of all texts, a special token's string being one of its own, and how many each text has."""
+def pieces_of(texts: list[str], classes: np.ndarray, special: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """split_texts, a special token's string in a text being a piece of its own."""
     if not any(s in t for s in special for t in texts):
         return split_texts(texts, classes)
     parts, after, per_text = [], [], []
@@ -196,17 +196,15 @@ def pieces_of(texts: list[str], classes: np.ndarray, special: list[str]) -> tupl
         while True:
             at, s = min(((i, s) for s in special if (i := t.find(s)) >= 0), key=lambda x: (x[0], -len(x[1])), default=(-1, ""))
             parts.append(t[:at] if s else t)
-            after.append([s] if s else [])
+            after.append(special.index(s) if s else -1)
             if not s:
                 break
             t = t[at + len(s) :]
         per_text.append(len(parts) - before)
-    flat, per_part = split_texts(parts, classes)
-    pieces, ends = [], np.cumsum(per_part)
-    for a, b, marks in zip((ends - per_part).tolist(), ends.tolist(), after):
-        pieces += flat[a:b] + marks
-    own = per_part + np.fromiter(map(len, after), np.int64, len(after))
-    return pieces, np.add.reduceat(own, np.cumsum([0, *per_text[:-1]]))
+    distinct, index, per_part = split_texts(parts, classes)
+    marks = np.array(after)
+    index = np.insert(index, np.cumsum(per_part)[marks >= 0], len(distinct) + marks[marks >= 0])
+    return distinct + special, index, np.add.reduceat(per_part + (marks >= 0), np.cumsum([0, *per_text[:-1]]))
 
 
 def sums_of(values: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -230,15 +228,16 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             machine = machine or BpeMachine(vocab, ranks)
             n_tokens = np.zeros(batch.num_rows, np.int64)
-            for begin, texts in text_groups(batch.column(1).to_pylist()):
-                pieces, per_text = pieces_of(texts, classes, special)
+            for begin, texts in text_groups(batch.column(1)):
+                distinct, index, per_text = pieces_of(texts, classes, special)
                 if len(cache) > CACHE:
                     cache.clear()
                 cache.update(dict.fromkeys(special, 1))
-                for p in set(pieces).difference(cache):
-                    cache[p] = machine.count(p.encode())
-                counts = np.fromiter(map(cache.__getitem__, pieces), np.int64, len(pieces))
-                n_tokens[begin : begin + len(texts)] = sums_of(counts, per_text)
+                for p in distinct:
+                    if p not in cache:
+                        cache[p] = machine.count(p.encode())
+                counts = np.fromiter(map(cache.__getitem__, distinct), np.int64, len(distinct))
+                n_tokens[begin : begin + len(texts)] = sums_of(counts[index], per_text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(n_tokens > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))

@@ -18,6 +18,7 @@ empty dataset. Columns beyond the id and the text are not read, so their names c
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,8 +33,11 @@ from quarrylens.llm.pretokenizer import compile_classes
 from quarrylens.llm.token_counts import pieces_of, read_bpe, sums_of
 
 BLOCK_IDS = 1 << 16
-#: Distinct pre-tokens that a worker keeps encoded before it starts anew.
-CACHE = 1 << 20
+#: Distinct pre-tokens of a generation of a worker's cache, and how many the library encodes at once.
+CACHE = 1 << 18
+BATCH = 1 << 12
+#: Bytes of text taken up at once.
+GROUP = 1 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -64,38 +68,50 @@ def unpack(payload: bytes, bits: int, start: int = 0, n: int | None = None) -> n
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, each distinct pre-token once."""
+    """Encodes texts with the tokenizers library, each distinct pre-token once while it is in the cache.
+
+    The cache has two generations: when the younger is full it becomes the elder, and what is asked for again moves
+    to the new one, so frequent pre-tokens stay and memory is bounded."""
 
     def __init__(self, tokenizer_json: str, classes: np.ndarray, special: list[str]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads would only hold memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.classes, self.special = classes, special
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.pool = array("q"), array("q"), array("I")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids as little-endian 32-bit integers."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for p in pieces:
+            if p not in young:
+                known = old.get(p)
+                if known is None:
+                    new.append(p)
+                else:
+                    young[p] = known
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                young[p] = array("I", e.ids).tobytes()
+        return [young[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and how many each text has."""
-        pieces, per_text = pieces_of(texts, self.classes, self.special)
-        if len(self.index) > CACHE:
-            self.clear()
-        new = list(set(pieces).difference(self.index))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            self.index[p] = len(self.starts)
-            self.starts.append(len(self.pool))
-            self.lengths.append(len(ids))
-            self.pool.extend(ids)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if not len(at):
+        distinct, index, per_text = pieces_of(texts, self.classes, self.special)
+        if not len(index):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        starts, lengths = np.array(self.starts)[at], np.array(self.lengths)[at]
+        found = self.ids_of(distinct)
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
         before = np.cumsum(lengths) - lengths
-        ids = np.array(self.pool, np.uint32)[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
-        return ids, sums_of(lengths, per_text)
+        return pool[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))], sums_of(lengths, per_text)
 
 
 def write_token_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -123,7 +139,7 @@ def write_token_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int,
         for batch in batches:
             encoder = encoder or PieceEncoder(*compiled.value)
             names = batch.column(0).to_pylist()
-            for begin, texts in text_groups(batch.column(1).to_pylist()):
+            for begin, texts in text_groups(batch.column(1), GROUP):
                 ids, per_text = encoder.encode(texts)
                 at = 0
                 for name, n in zip(names[begin : begin + len(texts)], per_text.tolist()):
@@ -160,7 +176,8 @@ def documents_of(blocks: DataFrame, id_col: str = "doc_id", with_ids: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4")
                 cuts = row["doc_offsets"]
                 own = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
