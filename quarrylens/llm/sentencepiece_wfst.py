@@ -8,8 +8,9 @@ fourth machine is composed, an acceptor over pairs of neighbouring pieces, which
 side exactly if BPE of their joined text gives back the two; one path is then left at each position, so all weights
 may be one, and the path is the library's encoding.
 
-Signs that occur in no piece of several signs, and the borders before a run of U+2581 after another sign, are
-never crossed by a piece; the input is cut there and each distinct cut is solved once per worker.
+Signs that occur in no piece of several signs, the borders before a run of U+2581 after another sign, and those of
+neighbours that no piece holds side by side are never crossed by a piece; the input is cut there, and each distinct cut
+is solved once while it is in a worker's cache of two generations (what is asked for again moves to the younger).
 
 Decoding composes the inverse: pieces to text, byte pieces to UTF-8 (malformed bytes become U+FFFD), U+2581 to
 space, without the dummy prefix.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.common import table, text_groups
+from quarrylens.llm.pretokenizer import SENTINEL
+from quarrylens.llm.token_counts import sums_of
 
 SPACE = "▁"
-#: Distinct cuts, and pairs of pieces, that a worker keeps before it starts anew.
+#: Distinct cuts of a generation of a worker's cache, and pairs of pieces that it keeps before it starts anew.
 CACHE = 1 << 18
 PAIRS = 1 << 20
 NEVER = float("-inf")
@@ -75,13 +79,18 @@ class Transducer:
     def __init__(self, model: Model):
         self.m = model
         self.arcs = {p[:n]: -1 for p in model.pieces for n in range(1, len(p))} | model.pieces  # the trie, by prefix
-        joined = {c for p in model.pieces if len(p) > 1 for c in p}
-        inside = "".join(re.escape(c) for c in sorted(joined - {SPACE}))
-        inner_space = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.pieces)
-        run = f"[{SPACE}{inside}]+" if inner_space else f"{SPACE}*[{inside}]+|{SPACE}+"
-        self.cuts = re.compile(f"{run}|[^{SPACE}{inside}]")
-        self.cache: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        inside = [p for p in model.pieces if len(p) > 1]
+        self.alone = np.ones(SENTINEL + 1, bool)  # signs that no piece of several signs holds
+        self.alone[[ord(c) for p in inside for c in p]] = False
+        self.apart = np.ones((128, 128), bool)  # neighbours that stand side by side in no piece
+        for p in inside:
+            for x, y in zip(p, p[1:]):
+                if x < "\x80" and y < "\x80":
+                    self.apart[ord(x), ord(y)] = False
+        self.spaces_join = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.pieces)
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+        self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple[list[tuple[float, str, str]], bool]] = {}
 
     def fallback(self, sign: str) -> list[int]:
@@ -122,7 +131,8 @@ class Transducer:
 
     def side_by_side(self, a: int, b: int) -> bool:
         """The acceptor over neighbouring pieces: no merge across their border comes before those inside. a = -1 is the start."""
-        ok = self.pairs.get((a, b))
+        key = (a + 1) << 32 | b
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
@@ -142,60 +152,126 @@ class Transducer:
                         i += 1
                     else:
                         j += 1
-            self.pairs[a, b] = ok
+            self.pairs[key] = ok
         return ok
 
     def shortest_path(self, text: str) -> list[int]:
         """Piece ids of the shortest path through pieces composed with a cut, starts taken from left to right."""
-        arcs, bpe, scores, n = self.arcs, self.m.bpe, self.m.scores, len(text)
-        weight: list[float | None] = [0.0] + [None] * n
-        last = [-1] * (n + 1)
-        begin = [0] * (n + 1)
+        n = len(text)
+        last, begin = [-2] * (n + 1), [0] * (n + 1)  # -2: not reached, -1: the start
+        last[0] = -1
+        (self.only_paths if self.m.bpe else self.least_paths)(text, last, begin)
+        if last[n] == -2:
+            return self.with_unknown(text)
+        out = []
+        while n:
+            out.append(last[n])
+            n = begin[n]
+        return out[::-1]
+
+    def only_paths(self, text: str, last: list[int], begin: list[int]) -> None:
+        """With the acceptor of neighbours one path at most reaches a place, so the first is the shortest."""
+        arc, pair, n = self.arcs.get, self.pairs.get, len(text)
         for start in range(n):
-            so_far = weight[start]
-            if so_far is None:
+            before = last[start]
+            if before == -2:
                 continue
+            high = (before + 1) << 32
             for end in range(start + 1, n + 1):
-                k = arcs.get(text[start:end])
+                k = arc(text[start:end])
                 if k is None:  # no piece begins like this
                     break
-                if k >= 0:
-                    w = so_far + (1.0 if bpe else -scores[k])
-                    if (weight[end] is None or w < weight[end]) and (not bpe or self.side_by_side(last[start], k)):
-                        weight[end], last[end], begin[end] = w, k, start
-        if weight[n] is None:
-            return self.with_unknown(text)
-        out = []
-        end = n
-        while end:
-            out.append(last[end])
-            end = begin[end]
-        return out[::-1]
+                if k >= 0 and last[end] == -2:
+                    ok = pair(high | k)
+                    if self.side_by_side(before, k) if ok is None else ok:
+                        last[end], begin[end] = k, start
+
+    def least_paths(self, text: str, last: list[int], begin: list[int]) -> None:
+        """Relaxation over the tropical semiring: a piece weighs minus its log-probability."""
+        arc, scores, n = self.arcs.get, self.m.scores, len(text)
+        weight = [0.0] + [float("inf")] * n
+        for start in range(n):
+            if last[start] == -2:
+                continue
+            for end in range(start + 1, n + 1):
+                k = arc(text[start:end])
+                if k is None:
+                    break
+                if k >= 0 and weight[start] - scores[k] < weight[end]:
+                    weight[end], last[end], begin[end] = weight[start] - scores[k], k, start
 
     def with_unknown(self, text: str) -> list[int]:
         """A cut with a sign that is no piece by itself: BPE by definition, then fallback for what is no piece."""
         parts = self.merge(text) if self.m.bpe else list(text)
         return [i for p in parts for i in ([self.m.pieces[p]] if p in self.m.pieces else [b for c in p for b in self.fallback(c)])]
 
-    def solve(self, cut: str) -> list[int]:
-        ids = self.cache.get(cut)
-        if ids is None:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            known = cut in self.m.pieces or len(cut) > 1
-            ids = self.cache[cut] = self.shortest_path(cut) if known else self.fallback(cut)
-        return ids
+    def solve(self, cuts: list[str]) -> list[tuple[bytes, str]]:
+        """Each cut's piece ids as little-endian 32-bit integers, and the text that they decode to (with its spaces as U+2581)."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = []
+        for cut in cuts:
+            found = young.get(cut)
+            if found is None:
+                found = old.get(cut)
+                if found is None:
+                    ids = self.shortest_path(cut) if len(cut) > 1 or cut in self.m.pieces else self.fallback(cut)
+                    found = (array("i", ids).tobytes(), self.surface(ids))
+                young[cut] = found
+            out.append(found)
+        return out
+
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct cuts of the normalised texts, all cuts in order as places among them, and how many each text has."""
+        normal = [((SPACE if self.m.prefix else "") + t.replace(" ", SPACE)) if t else "" for t in texts]
+        joined = "\n".join(normal)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        if not len(points):
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)) + 1) - 1  # where the joiner after each text stands
+        after = np.ones(len(points), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            after += points >= least
+        after = np.cumsum(after, dtype=np.int64)
+        points[ends[:-1]] = SENTINEL
+        single = self.alone[points]
+        starts = single.copy()
+        starts[0] = True
+        starts[1:] |= single[:-1]
+        if not self.spaces_join:
+            space = points == ord(SPACE)
+            starts[1:] |= space[1:] & ~space[:-1]
+        plain = np.flatnonzero((points[1:] < 128) & (points[:-1] < 128)) + 1
+        starts[plain] |= self.apart[points[plain - 1], points[plain]]
+        cuts = np.flatnonzero(starts)
+        places = np.append(np.where(cuts > 0, after[cuts - 1], 0), after[-1])
+        coded = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(places), pa.py_buffer(joined.encode())).dictionary_encode()
+        keep = points[cuts] != SENTINEL
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()[keep].astype(np.int64), np.diff(np.searchsorted(cuts[keep], ends), prepend=0)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """All ids in order, how many each text has, and what each text's ids decode to."""
+        distinct, index, per_text = self.cut(texts)
+        solved = self.solve(distinct)
+        sizes = np.fromiter((len(x[0]) for x in solved), np.int64, len(solved)) // 4
+        pool = np.frombuffer(b"".join([x[0] for x in solved]), "<i4")
+        starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        before = np.cumsum(lengths) - lengths
+        ids = pool[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))] if len(index) else np.zeros(0, np.int32)
+        surfaces = [x[1] for x in solved]
+        decoded, at, places = [], 0, index.tolist()
+        for n in per_text.tolist():
+            text = "".join([surfaces[i] for i in places[at : at + n]]).replace(SPACE, " ")
+            decoded.append(text[1:] if self.m.prefix and text.startswith(" ") else text)
+            at += n
+        return ids, sums_of(lengths, per_text), decoded
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        normal = (" " if self.m.prefix else "") + text
-        out: list[int] = []
-        for cut in self.cuts.findall(normal.replace(" ", SPACE)):
-            out += self.solve(cut)
-        return out
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids) -> str:
+    def surface(self, ids) -> str:
+        """The inverse transducer on pieces that begin and end at whole signs: pieces as they are, byte pieces joined to signs."""
         out: list[str] = []
         pending = bytearray()
         for i in ids:
@@ -209,7 +285,10 @@ class Transducer:
             out.append(self.m.unknown_surface if i == self.m.unknown else self.m.texts[i])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        return "".join(out)
+
+    def decode(self, ids) -> str:
+        text = self.surface(ids).replace(SPACE, " ")
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
@@ -223,10 +302,9 @@ def sentencepiece_encode(df: DataFrame, model_path: str, id_col: str = "doc_id",
         for batch in batches:
             machine = machine or Transducer(model.value)
             for a, texts in text_groups(batch.column(1)):
-                ids = [machine.encode(t) for t in texts]
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-                offsets = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([machine.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+                flat, lengths, decoded = machine.encode_all(texts)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
@@ -245,11 +323,9 @@ def with_pieces(df: DataFrame, model_path: str, text_col: str = "text") -> DataF
             machine = machine or Transducer(model.value)
             for a, texts in text_groups(batch.column(len(other))):
                 part = batch.slice(a, len(texts))
-                ids = [machine.encode(t) for t in texts]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
-                back = pa.array([machine.decode(x) == t for x, t in zip(ids, texts)])
+                flat, lengths, decoded = machine.encode_all(texts)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(flat, pa.int32()))
+                back = pa.array([x == t for x, t in zip(decoded, texts)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(other)], lists, pa.array(lengths), back], [*other, "ids", "n_pieces", "round_trip"])
 
     return read.mapInArrow(run, schema)
@@ -265,11 +341,9 @@ def sentencepiece_digest(df: DataFrame, model_path: str, id_col: str = "doc_id",
         for batch in batches:
             machine = machine or Transducer(model.value)
             for a, texts in text_groups(batch.column(1)):
-                rows = []
-                for t in texts:
-                    ids = machine.encode(t)
-                    decoded = machine.decode(ids)
-                    rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == t))
+                flat, lengths, decoded = machine.encode_all(texts)
+                ends = np.cumsum(lengths)
+                rows = [(n, zlib.crc32(flat[e - n : e].astype("<u4").tobytes()), zlib.crc32(d.encode()), d == t) for n, e, d, t in zip(lengths.tolist(), ends.tolist(), decoded, texts)]
                 columns = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), *columns], ["id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
 
