@@ -6,8 +6,8 @@ pattern may look ahead to: whether white space is followed by non-space, and how
 apostrophe. A transition carries one bit: a pre-token begins here.
 
 A text is cut into chunks of CHUNK symbols. All chunks advance in lockstep from all eight states, giving each
-chunk's state map; the maps are composed by a parallel prefix scan; then each chunk runs once from its now known
-state to give its bits. Texts are joined with a RESET symbol between them, so that one run serves many texts.
+chunk's state map (a number in the transducer's transition monoid, so a step is one table look-up); the maps are
+composed by a parallel prefix scan; then each chunk runs once from its now known state to give its bits. Texts are joined with a RESET symbol between them, so that one run serves many texts.
 """
 
 from __future__ import annotations
@@ -44,7 +44,27 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
     return go, cut
 
 
+def _monoid(go: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state maps that any run of symbols can give, numbered (0 is the identity): each followed by a symbol, each
+    followed by another, and where each leads from START."""
+    maps = [tuple(range(8))]
+    number = {maps[0]: 0}
+    step = []
+    for m in maps:  # grows while it is read
+        row = []
+        for sym in range(10):
+            then = tuple(int(go[sym, s]) for s in m)
+            if then not in number:
+                number[then] = len(maps)
+                maps.append(then)
+            row.append(number[then])
+        step.append(row)
+    product = [[number[tuple(b[s] for s in a)] for b in maps] for a in maps]
+    return np.array(step), np.array(product), np.array([m[START] for m in maps])
+
+
 GO, CUT = _machine()
+STEP, PRODUCT, FROM_START = _monoid(GO)
 
 
 def compile_classes(tokenizer) -> np.ndarray:
@@ -88,21 +108,20 @@ def _cuts(sym: np.ndarray) -> np.ndarray:
     k = -(-n // CHUNK)
     lanes = np.zeros(k * CHUNK, np.uint8)
     lanes[:n] = sym
-    lanes = np.ascontiguousarray(lanes.reshape(k, CHUNK).T)
-    rows = lanes.astype(np.intp) * 8
-    go, cut = GO.ravel(), CUT.ravel()
-    maps = np.tile(np.arange(8, dtype=np.uint8), (k, 1))
+    rows = np.ascontiguousarray(lanes.reshape(k, CHUNK).T).astype(np.intp)
+    step, product, n_maps = STEP.ravel(), PRODUCT.ravel(), len(PRODUCT)
+    maps = np.zeros(k, np.intp)
     for row in rows:
-        maps = go[row[:, None] + maps]
-    step = 1
-    while step < k:  # Hillis-Steele scan: after it, maps[i] is the composition of chunks 0..i
-        later = np.take_along_axis(maps[step:], maps[:-step].astype(np.intp), axis=1)
-        maps = np.concatenate([maps[:step], later])
-        step *= 2
-    state = np.concatenate([[np.uint8(START)], maps[:-1, START]])
+        maps = step[maps * 10 + row]
+    ahead = 1
+    while ahead < k:  # Hillis-Steele scan: after it, maps[i] is the composition of chunks 0..i
+        maps = np.concatenate([maps[:ahead], product[maps[:-ahead] * n_maps + maps[ahead:]]])
+        ahead *= 2
+    go, cut = GO.ravel().astype(np.intp), CUT.ravel()
+    state = np.concatenate([[START], FROM_START[maps[:-1]]])
     out = np.empty((CHUNK, k), np.uint8)
     for j, row in enumerate(rows):
-        at = row + state
+        at = row * 8 + state
         out[j] = cut[at]
         state = go[at]
     return out.T.ravel()[:n]
