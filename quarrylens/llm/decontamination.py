@@ -8,12 +8,12 @@ always stands for the same value in the document. Then a question with other num
 likeness of templates is not.
 
 A pair of text and item is reported if the matching windows cover RUN words of the item, or the whole of a shorter
-item. A text or item of fewer than WINDOW template words is matched as a whole.
+item. An item of fewer than WINDOW template words is one window of its own length, looked for at every place of a text.
 
-Searching takes every STRIDE-th window of a document against all windows of the items, so every run of WINDOW +
-STRIDE - 1 common words (fewer than RUN) has a hit; only the texts hit are aligned window by window. Texts are
-keyed by their digest, so any number of copies is aligned once. The windows of the benchmark and the digests of hit
-texts are broadcast only if they count BROADCAST_ROWS rows at most; beyond that, the same joins are shuffled.
+Searching takes every window of a document, of WINDOW words and of the lengths of shorter items, against all windows
+of the items; only the texts hit are aligned window by window. Texts are keyed by their digest, so any number of
+copies is aligned once. The windows of the benchmark and the digests of hit texts are broadcast only if they count
+BROADCAST_ROWS rows at most; beyond that, the same joins are shuffled.
 
 Results for odd input: null and empty texts match nothing, as do null and empty items; null ids are carried along;
 repeated rows each give their rows, repeated item ids count as one item with the windows of all; empty tables give
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import scratch, table
 
 WINDOW = 8
-STRIDE = 4
 RUN = 13
 BROADCAST_ROWS = 1 << 20
 NAME, NUMBER, UNIT = "‹name›", "‹num›", "‹unit›"
@@ -56,13 +55,24 @@ def template(text: Column) -> Column:
     return F.array_remove(F.split(canonical(spaced(text)), " "), "")
 
 
-def windows(words: Column, step: int, make) -> Column:
-    """make(first place, words of the window) for every step-th window; one for all words if there are fewer."""
-    n = F.size(words)
-    sliding = F.transform(F.sequence(F.lit(1), n - WINDOW + 1, F.lit(step)), lambda i: make(i, F.slice(words, i, WINDOW)))
-    # the last window is always one of them, so the end of a text is covered as well
-    with_last = F.when((n - WINDOW) % step == 0, sliding).otherwise(F.concat(sliding, F.array(make(n - WINDOW + 1, F.slice(words, n - WINDOW + 1, WINDOW))))) if step > 1 else sliding
-    return F.when(n >= WINDOW, with_last).when(n > 0, F.array(make(F.lit(1), words)))
+def let(value: Column, make) -> Column:
+    """make(value), with value computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def window_hashes(hashes: Column, n: int) -> Column:
+    """The hashes of all windows of n words, in order, from the words' hashes; empty if there are fewer words."""
+    if n == 1:
+        return hashes
+    left, count = n // 2, F.greatest(F.size(hashes) - n + 1, F.lit(0))
+    pair = lambda a, b: F.zip_with(F.slice(a, 1, count), F.slice(b, left + 1, count), lambda x, y: F.xxhash64(x, y))
+    if n % 2:
+        return pair(window_hashes(hashes, left), window_hashes(hashes, n - left))
+    return let(window_hashes(hashes, left), lambda half: pair(half, half))
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def within_bound(df: DataFrame) -> DataFrame:
@@ -70,13 +80,26 @@ def within_bound(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def placed_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, h, words, raw: all windows of each row's template, with the words as they stand in the text."""
+def placed_windows(rows: DataFrame, key: str, text: str, lengths: list[int] | None = None) -> DataFrame:
+    """key, size, place, h, words, raw: all windows of each row's template, with the words as they stand in the text.
+
+    They have the given lengths; without lengths WINDOW words, or all words of a shorter template.
+    """
     plain = F.split(spaced(F.col(text)), " ")
     pairs = F.filter(F.zip_with(F.split(canonical(spaced(F.col(text))), " "), plain, lambda c, r: F.struct(c.alias("c"), r.alias("r"))), lambda x: x["c"] != "")
     lists = rows.select(key, pairs.alias("pairs")).select(key, F.col("pairs.c").alias("c"), F.col("pairs.r").alias("r"))
-    make = lambda i, w: F.struct(i.alias("place"), F.xxhash64(w).alias("h"), w.alias("words"), F.slice("r", i, F.size(w)).alias("raw"))
-    return lists.select(key, F.explode(windows(F.col("c"), 1, make)).alias("w")).select(key, "w.*")
+    lists = lists.withColumn("hashes", word_hashes(F.col("c")))
+
+    def of_length(n: int) -> Column:
+        return F.transform(window_hashes(F.col("hashes"), n), lambda h, i: F.struct(F.lit(n).alias("size"), (i + 1).alias("place"), h.alias("h"), F.slice("c", i + 1, n).alias("words"), F.slice("r", i + 1, n).alias("raw")))
+
+    if lengths is None:
+        made = F.when(F.size("c") >= WINDOW, of_length(WINDOW))
+        for n in range(1, WINDOW):
+            made = made.when(F.size("c") == n, of_length(n))
+    else:
+        made = F.concat(*(of_length(n) for n in lengths))
+    return lists.select(key, F.explode(made).alias("w")).select(key, "w.*")
 
 
 def literal_enough(words: Column) -> Column:
@@ -90,14 +113,15 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text_col: str = "text"
     bench = scratch(spark, bench, "benchmark-windows")
     sizes = bench.groupBy("item").agg(F.countDistinct("place").alias("n"))
     known = scratch(spark, bench.select("h").distinct(), "benchmark-hashes")
-    hashes = windows(F.col("words"), STRIDE, lambda i, w: F.xxhash64(w))
-    texts = docs.select(F.md5(text_col).alias("digest"), template(F.col(text_col)).alias("words"))
+    lengths = sorted({WINDOW} | {r["size"] for r in bench.select("size").distinct().collect()})  # WINDOW different ones at most
+    hashes = F.concat(*(window_hashes(F.col("hashes"), n) for n in lengths))
+    texts = docs.select(F.md5(text_col).alias("digest"), word_hashes(template(F.col(text_col))).alias("hashes"))
     hits = texts.select("digest", F.explode(hashes).alias("h")).join(within_bound(known), "h", "left_semi").select("digest").distinct()
     hits = scratch(spark, hits, "hit-texts")
     found = docs.select(F.md5(text_col).alias("digest"), F.col(text_col).alias("t")).join(within_bound(hits), "digest", "left_semi")
     found = scratch(spark, found.groupBy("digest").agg(F.first("t").alias("t")), "hit-texts-whole")
 
-    own = placed_windows(found, "digest", "t")
+    own = placed_windows(found, "digest", "t", lengths)
     theirs = bench.select("item", F.col("place").alias("item_place"), "h", F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
     met = own.join(within_bound(theirs), "h").where(F.col("words") == F.col("item_words"))
     value = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}.,]|[.,]+$", ""))

@@ -312,6 +312,16 @@ def test_decontamination_slots(spark, odd):
     assert decontamination.contaminated(torn, same).count() == 0  # one slot value would stand for several
 
 
+def test_decontamination_short_items_at_each_offset(spark):
+    before, after = "so here is one text that goes on ".split(), "and then it goes on for a while yet".split()
+    lists = {n: [f"{chr(97 + n)}{'x' * (k + 1)}" for k in range(n)] for n in (1, 3, 7, 8, 9, 10, 12)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in lists.items()], "item_id long, text string")
+    rows = [(100 * n + at, " ".join((before * 2)[:at] + w + after)) for n, w in lists.items() for at in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.coverage) for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(i, i // 100, 1.0) for i, _ in rows}
+
+
 # --- 9
 
 
