@@ -2,13 +2,14 @@
 
 A text's template is its words without punctuation, in lower case, with numbers, names (capitalised words within a
 sentence) and units after numbers replaced by typed placeholders. Windows of WINDOW template words are hash-joined
-with the benchmark's; a window counts only if at least half of its words are literal. For windows with
-placeholders, slots must be consistent: along one alignment of a document with an item, a value in the item's slots
-always stands for the same value in the document. Then a question with other numbers or names is found, and a chance
-likeness of templates is not.
+with the benchmark's, and so are windows of the plain words in lower case. A window of equal plain words always
+counts. One of equal template words only counts if at least half of its words are literal and its slots are
+consistent: a value in the item's slots always stands for the same value in the document, along the whole alignment of
+a document with an item or a run of as many of its windows as make a match. Then a question with other numbers or
+names is found, and a chance likeness of templates is not.
 
 A pair of text and item is reported if the matching windows cover RUN words of the item, or the whole of a shorter
-item. An item of fewer than WINDOW template words is one window of its own length, looked for at every place of a text.
+item, or if mostly literal windows match that are as many, or all that the item has. An item of fewer than WINDOW template words is one window of its own length, looked for at every place of a text.
 
 Searching takes every window of a document, of WINDOW words and of the lengths of shorter items, against all windows
 of the items; only the texts hit are aligned window by window. Texts are keyed by their digest, so any number of
@@ -40,7 +41,8 @@ UNITS = (
 
 
 def spaced(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    """The text with single spaces; the signs that mark placeholders are quotes there, and count as spaces."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s‹›]+", " "))
 
 
 def canonical(text: Column) -> Column:
@@ -55,6 +57,11 @@ def template(text: Column) -> Column:
     return F.array_remove(F.split(canonical(spaced(text)), " "), "")
 
 
+def plain(text: Column) -> Column:
+    """The words of a text in lower case without punctuation but that between digits; word by word those of its template."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(spaced(text)), r"[^\p{L}\p{N} .,:/-]+|[.,:/-](?![0-9])|(?<![0-9])[.,:/-]", ""), " "), "")
+
+
 def let(value: Column, make) -> Column:
     """make(value), with value computed once."""
     return F.transform(F.array(value), make)[0]
@@ -80,18 +87,17 @@ def within_bound(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def placed_windows(rows: DataFrame, key: str, text: str, lengths: list[int] | None = None) -> DataFrame:
-    """key, size, place, h, words, raw: all windows of each row's template, with the words as they stand in the text.
+def placed_windows(rows: DataFrame, keys: list[str], text: str, lengths: list[int] | None = None) -> DataFrame:
+    """keys, size, place, template, plain, templated, h, words: all windows of each row, of its plain words and, where these are others (templated), of its template words.
 
     They have the given lengths; without lengths WINDOW words, or all words of a shorter template.
     """
-    plain = F.split(spaced(F.col(text)), " ")
-    pairs = F.filter(F.zip_with(F.split(canonical(spaced(F.col(text))), " "), plain, lambda c, r: F.struct(c.alias("c"), r.alias("r"))), lambda x: x["c"] != "")
-    lists = rows.select(key, pairs.alias("pairs")).select(key, F.col("pairs.c").alias("c"), F.col("pairs.r").alias("r"))
-    lists = lists.withColumn("hashes", word_hashes(F.col("c")))
+    lists = rows.select(*keys, template(F.col(text)).alias("c"), plain(F.col(text)).alias("p"))
+    lists = lists.withColumns({"ch": word_hashes(F.col("c")), "ph": word_hashes(F.col("p"))})
 
     def of_length(n: int) -> Column:
-        return F.transform(window_hashes(F.col("hashes"), n), lambda h, i: F.struct(F.lit(n).alias("size"), (i + 1).alias("place"), h.alias("h"), F.slice("c", i + 1, n).alias("words"), F.slice("r", i + 1, n).alias("raw")))
+        both = F.zip_with(window_hashes(F.col("ch"), n), window_hashes(F.col("ph"), n), lambda c, p: F.struct(c.alias("c"), p.alias("p")))
+        return F.transform(both, lambda h, i: F.struct(F.lit(n).alias("size"), (i + 1).alias("place"), h.alias("h"), F.slice("c", i + 1, n).alias("template"), F.slice("p", i + 1, n).alias("plain")))
 
     if lengths is None:
         made = F.when(F.size("c") >= WINDOW, of_length(WINDOW))
@@ -99,41 +105,70 @@ def placed_windows(rows: DataFrame, key: str, text: str, lengths: list[int] | No
             made = made.when(F.size("c") == n, of_length(n))
     else:
         made = F.concat(*(of_length(n) for n in lengths))
-    return lists.select(key, F.explode(made).alias("w")).select(key, "w.*")
+    found = lists.select(*keys, F.explode(made).alias("w")).select(*keys, "w.*")
+    as_plain = F.struct(F.lit(False).alias("templated"), F.col("h.p").alias("h"), F.col("plain").alias("words"))
+    as_template = F.struct(F.lit(True).alias("templated"), F.col("h.c").alias("h"), F.col("template").alias("words"))
+    kinds = F.when(F.col("template") == F.col("plain"), F.array(as_plain)).otherwise(F.array(as_plain, as_template))
+    return found.select(*keys, "size", "place", "template", "plain", F.explode(kinds).alias("k")).select(*keys, "size", "place", "template", "plain", "k.*")
 
 
 def literal_enough(words: Column) -> Column:
     return 2 * F.size(F.filter(words, lambda x: x.startswith("‹"))) <= F.size(words)
 
 
+def consistent(slots: Column) -> Column:
+    """Whether each item value of these lists of slots stands for one document value."""
+    return let(F.array_distinct(F.flatten(slots)), lambda pairs: F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["i"]))))
+
+
+def consistent_windows(met: DataFrame, needed: DataFrame) -> DataFrame:
+    """digest, item, item_place of the template windows of met whose line, or a run of `needed` of whose windows, is consistent."""
+    lines = met.groupBy("digest", "item", "copy", "line").agg(F.array_sort(F.collect_list(F.struct("item_place", "slots"))).alias("rows"))
+    lines = lines.join(needed, "item").withColumn("starts", F.greatest(F.size("rows") - F.col("needed") + 1, F.lit(0)))
+    slots = F.transform("rows", lambda x: x["slots"])
+    runs = F.transform(F.slice("rows", 1, F.col("starts")), lambda _, i: consistent(F.slice(F.col("slots"), i + 1, F.col("needed"))))
+    lines = lines.withColumn("slots", slots).withColumn("runs", runs).withColumn("whole", consistent(F.col("slots")))
+
+    def within_run(i: Column) -> Column:
+        first = F.greatest(i - F.col("needed") + 2, F.lit(1))
+        return F.exists(F.slice("runs", first, F.greatest(F.least(i + 1, F.col("starts")) - first + 1, F.lit(0))), lambda x: x)
+
+    counted = F.transform("rows", lambda x, i: F.when(F.col("whole") | within_run(i), x["item_place"]))
+    return lines.select("digest", "item", F.explode(counted).alias("item_place")).where("item_place is not null")
+
+
 def contaminated_texts(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """digest, item_id, matched_windows, coverage, reparameterised of each distinct text that holds an item."""
     spark = docs.sparkSession
-    bench = placed_windows(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")), "item", "t").where(literal_enough(F.col("words")))
+    benchmark = items.select(F.col(item_col).alias("item"), F.xxhash64(item_text).alias("copy"), F.col(item_text).alias("t")).distinct()
+    bench = placed_windows(benchmark, ["item", "copy"], "t").withColumn("literal", literal_enough(F.col("template"))).where("literal or not templated")
     bench = scratch(spark, bench, "benchmark-windows")
-    sizes = bench.groupBy("item").agg(F.countDistinct("place").alias("n"))
+    sizes = bench.groupBy("item").agg(F.countDistinct("place").alias("n"), F.countDistinct(F.when(F.col("literal"), F.col("place"))).alias("literal_n"))
+    most = F.lit(RUN - WINDOW + 1)
     known = scratch(spark, bench.select("h").distinct(), "benchmark-hashes")
     lengths = sorted({WINDOW} | {r["size"] for r in bench.select("size").distinct().collect()})  # WINDOW different ones at most
-    hashes = F.concat(*(window_hashes(F.col("hashes"), n) for n in lengths))
-    texts = docs.select(F.md5(text_col).alias("digest"), word_hashes(template(F.col(text_col))).alias("hashes"))
+    every = lambda hashes: F.concat(*(window_hashes(hashes, n) for n in lengths))
+    texts = docs.select(F.md5(text_col).alias("digest"), word_hashes(template(F.col(text_col))).alias("ch"), word_hashes(plain(F.col(text_col))).alias("ph"))
+    hashes = F.when(F.col("ch") == F.col("ph"), every(F.col("ph"))).otherwise(F.concat(every(F.col("ph")), every(F.col("ch"))))
     hits = texts.select("digest", F.explode(hashes).alias("h")).join(within_bound(known), "h", "left_semi").select("digest").distinct()
     hits = scratch(spark, hits, "hit-texts")
     found = docs.select(F.md5(text_col).alias("digest"), F.col(text_col).alias("t")).join(within_bound(hits), "digest", "left_semi")
     found = scratch(spark, found.groupBy("digest").agg(F.first("t").alias("t")), "hit-texts-whole")
 
-    own = placed_windows(found, "digest", "t", lengths)
-    theirs = bench.select("item", F.col("place").alias("item_place"), "h", F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
+    own = placed_windows(found, ["digest"], "t", lengths).select("digest", "place", "plain", "templated", "h", "words")
+    theirs = bench.select("item", "copy", F.col("place").alias("item_place"), "literal", "h", F.col("words").alias("item_words"), F.col("plain").alias("item_plain"))
     met = own.join(within_bound(theirs), "h").where(F.col("words") == F.col("item_words"))
-    value = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}.,]|[.,]+$", ""))
-    slots = F.filter(F.zip_with("item_words", F.zip_with("item_raw", "raw", lambda i, d: F.struct(value(i).alias("i"), value(d).alias("d"))), lambda w, p: F.when(w.startswith("‹"), p)), lambda x: x.isNotNull())
-    met = met.select("digest", "item", "item_place", (F.col("place") - F.col("item_place")).alias("line"), slots.alias("slots"))
+    slots = F.filter(F.zip_with("words", F.arrays_zip(F.col("item_plain").alias("i"), F.col("plain").alias("d")), lambda w, p: F.when(w.contains("‹"), p)), lambda x: x.isNotNull())
+    met = met.select("digest", "item", "copy", "item_place", "literal", "templated", (F.col("place") - F.col("item_place")).alias("line"), F.when(F.col("templated"), slots).alias("slots"))
     met = scratch(spark, met, "met-windows")
-    values = met.select("digest", "item", "line", F.explode("slots").alias("s")).groupBy("digest", "item", "line", "s.i").agg(F.min("s.d").alias("least"), F.max("s.d").alias("most"))
-    torn = values.where("least <> most").select("digest", "item", "line").distinct().withColumn("torn", F.lit(True))
-    kept = met.join(torn, ["digest", "item", "line"], "left").where(F.col("torn").isNull() | (F.size("slots") == 0))
-    other = F.exists("slots", lambda x: x["i"] != x["d"])
-    matches = kept.groupBy("digest", "item", "item_place").agg(F.min(other).alias("other")).groupBy("digest", "item").agg(F.count("*").alias("matched_windows"), F.max("other").alias("reparameterised"))
-    matches = matches.join(sizes, "item").where(F.col("matched_windows") >= F.least("n", F.lit(RUN - WINDOW + 1)))
+    verbatim = met.where("not templated").select("digest", "item", "item_place", "literal", F.lit(False).alias("other"))
+    needed = sizes.select("item", F.least("literal_n", most).cast("int").alias("needed"))
+    changed = consistent_windows(met.where("templated"), needed).select("digest", "item", "item_place", F.lit(True).alias("literal"), F.lit(True).alias("other"))
+    places = verbatim.union(changed).groupBy("digest", "item", "item_place").agg(F.max("literal").alias("literal"), F.min("other").alias("other"))
+    matches = places.groupBy("digest", "item").agg(F.count("*").alias("matched_windows"), F.count_if("literal").alias("literal_matched"), F.max("other").alias("reparameterised"))
+    all_words = F.col("matched_windows") >= F.least("n", most)
+    all_literal = (F.col("literal_n") > 0) & (F.col("literal_matched") >= F.least("literal_n", most))
+    matches = matches.join(sizes, "item").where(all_words | all_literal)
     return matches.select("digest", F.col("item").alias(item_col), "matched_windows", F.round(F.col("matched_windows") / F.col("n"), 6).alias("coverage"), "reparameterised")
 
 

@@ -322,6 +322,22 @@ def test_decontamination_short_items_at_each_offset(spark):
     assert got == {(i, i // 100, 1.0) for i, _ in rows}
 
 
+def test_decontamination_verbatim_and_runs(spark):
+    numbers = "2 4 8 16 32 64 128 256 512 1024 2048 4096 8192 3 5 7"
+    named = "when Ann met Bob she gave Bob 3 pears and then Ann told Bob that Ann had 9 more while Bob said to Ann that he wants 12 of them all"
+    changed = "then Ann takes 5 red apples from the old shop and walks 7 long miles with them home where Ann eats 5 of them"
+    bench = spark.createDataFrame([(1, numbers), (2, named), (3, changed)], "item_id long, text string")
+    late = " and ".join([named, "so it goes on", "then Ann slept"])
+    texts = {
+        10: f"here are the powers {numbers} and so on", 11: "here are the powers 9 8 7 6 5 4 3 2 1 11 12 13 14 15 16 17 and so on",
+        20: late, 21: named.lower(), 22: named.replace("12 of", "13 of").replace("to Ann", "to Cid"),
+        30: "so then Eve takes 6 red apples from the old shop and walks 8 long miles with them home where Tom eats 9 of them",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(10, 1): False, (20, 2): False, (21, 2): False, (22, 2): True, (30, 3): True}
+
+
 # --- 9
 
 
