@@ -35,7 +35,7 @@ STATES = 1 << 17
 NEVER = 1 << 60
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable bytes as they are, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -178,7 +178,7 @@ def read_bpe(path: str) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes], int
     pre, model = spec["pre_tokenizer"], spec["model"]
     if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["ignore_merges"]:
         raise ValueError("only plain byte-level BPE files can be compiled")
-    letters = _byte_letters()
+    letters = byte_letters()
     raw = lambda s: bytes(letters[c] for c in s)
     special = [t["content"] for t in spec["added_tokens"]]
     vocab = {raw(t): i for t, i in model["vocab"].items() if t not in special}

@@ -8,11 +8,11 @@ bit first, `bits` bits each, so id i stands at bit i * bits and any range unpack
 documents, BLOCK_IDS ids or one longer document. Spark's own writer commits the files, so a lost executor's task
 is redone without a trace, and any store that Spark writes will do.
 
-Texts are encoded by the tokenizers library; as its BPE never crosses a pre-token, each distinct pre-token is
-encoded once per worker and texts are put together from those by numpy.
+Texts are encoded by the tokenizers library; as its BPE never crosses a pre-token, each distinct pre-token goes
+through the library's model once while it is in a worker's cache, and texts are put together from those by numpy.
 
 Results for odd input: null text counts as empty (its only id is the end id); null document ids come first;
-repeated rows are all written, in order of text; texts of any length are written whole; an empty table gives an
+integer ids of any width are ordered as numbers, other ids as text; repeated rows are all written, in order of text; texts of any length are written whole; an empty table gives an
 empty dataset. Columns beyond the id and the text are not read, so their names cannot clash.
 """
 
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import shared_dir, table, text_groups
 from quarrylens.llm.pretokenizer import compile_classes
-from quarrylens.llm.token_counts import pieces_of, read_bpe, sums_of
+from quarrylens.llm.token_counts import byte_letters, pieces_of, read_bpe, sums_of
 
 BLOCK_IDS = 1 << 16
-#: Distinct pre-tokens of a generation of a worker's cache, and how many the library encodes at once.
+#: Distinct pre-tokens of a generation of a worker's cache.
 CACHE = 1 << 18
-BATCH = 1 << 12
-#: Bytes of text taken up at once.
+#: Bytes of text taken up at once, and ids packed or unpacked at once.
 GROUP = 1 << 20
+PACKED = 1 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -51,7 +51,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
         raise ValueError(f"an id does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    return np.packbits(np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
+    parts = (ids[at : at + PACKED] for at in range(0, len(ids), PACKED))  # PACKED ids end at a whole byte
+    return b"".join(np.packbits(np.unpackbits(x.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes() for x in parts)
 
 
 def unpack(payload: bytes, bits: int, start: int = 0, n: int | None = None) -> np.ndarray:
@@ -59,16 +60,20 @@ def unpack(payload: bytes, bits: int, start: int = 0, n: int | None = None) -> n
     n = len(payload) * 8 // bits - start if n is None else n
     if bits in (8, 16, 32):
         return np.frombuffer(payload, f"<u{bits // 8}", n, start * bits // 8).astype(np.uint32)
-    at = (np.arange(start, start + n, dtype=np.int64)) * bits
-    first = int(at[0] >> 3) if n else 0
-    raw = np.frombuffer(payload[first : (start + n) * bits // 8 + 1] + bytes(8), np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(raw, 8)[(at >> 3) - first]
-    values = np.ascontiguousarray(words).view("<u8").ravel() >> (at & 7).astype(np.uint64)
-    return (values & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    out = np.empty(n, np.uint32)
+    for done in range(0, n, PACKED):
+        some = min(PACKED, n - done)
+        at = np.arange(start + done, start + done + some, dtype=np.int64) * bits
+        first = int(at[0] >> 3)
+        raw = np.frombuffer(payload[first : (start + done + some) * bits // 8 + 1] + bytes(8), np.uint8)
+        words = np.lib.stride_tricks.sliding_window_view(raw, 8)[(at >> 3) - first]
+        values = np.ascontiguousarray(words).view("<u8").ravel() >> (at & 7).astype(np.uint64)
+        out[done : done + some] = values & np.uint64((1 << bits) - 1)
+    return out
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, each distinct pre-token once while it is in the cache.
+    """Encodes texts with the tokenizers library: its model reads each distinct pre-token once while it is in the cache.
 
     The cache has two generations: when the younger is full it becomes the elder, and what is asked for again moves
     to the new one, so frequent pre-tokens stay and memory is bounded."""
@@ -78,15 +83,18 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.classes, self.special = classes, special
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.fixed = {s: np.array([self.library.token_to_id(s)], "<u4").tobytes() for s in special}
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """Each piece's ids as little-endian 32-bit integers."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
+        young.update(self.fixed)
         new = []
         for p in pieces:
             if p not in young:
@@ -95,10 +103,17 @@ class PieceEncoder:
                     new.append(p)
                 else:
                     young[p] = known
-        for at in range(0, len(new), BATCH):
-            part = new[at : at + BATCH]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                young[p] = array("I", e.ids).tobytes()
+        if new:
+            tokenize, spelt = self.library.model.tokenize, "".join(new).encode().decode("latin-1").translate(self.letters)
+            ids, ends, at = [], [], 0
+            for n in map(len, [p.encode() for p in new]):
+                ids += [t.id for t in tokenize(spelt[at : at + n])]
+                ends.append(len(ids))
+                at += n
+            raw, begin = np.array(ids, "<u4").tobytes(), 0
+            for p, end in zip(new, ends):
+                young[p] = raw[4 * begin : 4 * end]
+                begin = end
         return [young[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +136,16 @@ def write_token_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int,
     library = Tokenizer.from_file(tokenizer_path)
     bits = width(max(library.get_vocab_size(with_added_tokens=True), end_id + 1))
     compiled = df.sparkSession.sparkContext.broadcast((library.to_str(), compile_classes(library), read_bpe(tokenizer_path)[2]))
-    kind = df.schema[id_col].dataType
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("bits", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64() if kind.simpleString() == "bigint" else pa.string())), ("doc_offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+    whole = df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    inner, key = ("bigint", F.col(id_col).cast("long")) if whole else ("string", F.col(id_col).cast("string"))
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("bits", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64() if whole else pa.string())), ("doc_offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, block, first, encoder = TaskContext.get().partitionId(), 0, 0, None
         docs, offsets, held = [], [0], []
+        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             nonlocal block, first, docs, offsets, held
@@ -147,18 +164,16 @@ def write_token_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int,
                         yield flush()
                     docs.append(name)
                     offsets.append(offsets[-1] + n + 1)
-                    held += [ids[at : at + n], np.array([end_id], np.uint32)]
+                    held += [ids[at : at + n], end]
                     at += n
         if docs:
             yield flush()
 
-    key = F.col(id_col) if kind.simpleString() == "bigint" else F.col(id_col).cast("string")
     ordered = (
         df.select(key.alias("id"), F.col(text_col).alias("text"))
         .repartitionByRange("id", F.xxhash64("text"))
         .sortWithinPartitions("id", "text")
     )
-    inner = "bigint" if kind.simpleString() == "bigint" else "string"
     ordered.mapInArrow(run, f"shard int, block long, bits int, first_id long, n_ids long, doc_ids array<{inner}>, doc_offsets array<long>, payload binary").write.parquet(path)
 
 
