@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import type_normalise
+from quarrylens.session import scratch
 
 #: Fixed lists: type names that mean the same, and large-object types.
 SYNONYMS = {"INT": "INTEGER", "INT4": "INTEGER", "INT8": "BIGINT", "INT2": "SMALLINT", "VARCHAR2": "VARCHAR", "NVARCHAR2": "NVARCHAR", "CHARACTER VARYING": "VARCHAR", "CHARACTER": "CHAR", "BPCHAR": "CHAR", "NUMBER": "NUMERIC", "DECIMAL": "NUMERIC", "FLOAT8": "DOUBLE", "DOUBLE PRECISION": "DOUBLE", "FLOAT4": "REAL", "BOOL": "BOOLEAN", "TIMESTAMPTZ": "TIMESTAMP WITH TIME ZONE", "TIMETZ": "TIME WITH TIME ZONE", "DATETIME": "TIMESTAMP"}
@@ -73,12 +74,12 @@ def repeated_relation(constraints: DataFrame) -> DataFrame:
 
 
 def serial_columns(columns: DataFrame) -> DataFrame:
-    parts = columns.select("table_name", F.regexp_extract(F.upper("name"), r"^(.*[^0-9])([1-9])$", 1).alias("stem")).where("stem <> ''")
+    parts = columns.select("table_name", F.upper(F.regexp_extract("name", r"^(.*[A-Za-z_])([0-9]{1,9})$", 1)).alias("stem")).where("stem <> ''")
     return _rule(parts.groupBy("table_name", "stem").count().where("count >= 3"), "serialColumns", F.col("stem"))
 
 
 def default_null_text(columns: DataFrame) -> DataFrame:
-    return _rule(columns.where(F.col("default_value").rlike(r"(?i)^\s*'NULL'")), "defaultNullString", F.col("name"))
+    return _rule(columns.where(F.trim("default_value").rlike(r"(?i)^'NULL'(::.*)?$")), "defaultNullString", F.col("name"))
 
 
 def fk_type_mismatch(constraints: DataFrame, columns: DataFrame) -> DataFrame:
@@ -113,16 +114,13 @@ def many_lobs(columns: DataFrame) -> DataFrame:
     return _rule(n.where("n > 1"), "tooManyLobs", F.col("n").cast("string"))
 
 
-def fk_cycle(constraints: DataFrame, tables_bound: int = 64) -> DataFrame:
-    """Tables in a cycle of foreign keys of two tables or more. Reachability grows by joins until its frontier is empty, at most tables_bound rounds."""
+def fk_cycle(constraints: DataFrame) -> DataFrame:
+    """Tables in a cycle of foreign keys of two tables or more. Paths double in length each round until no pair is new, each round a written table."""
     edges = constraints.where("kind = 'FK' and table_name <> ref_table").select(F.col("table_name").alias("a"), F.col("ref_table").alias("b")).distinct()
-    out = frontier = edges
-    for _ in range(tables_bound):
-        step = frontier.alias("f").join(edges.alias("e"), F.col("f.b") == F.col("e.a")).select("f.a", "e.b").distinct()
-        frontier = step.join(out, ["a", "b"], "left_anti").cache()
-        if frontier.isEmpty():
-            break
-        out = out.union(frontier)
+    out, known = scratch(constraints.sparkSession, edges, "fk-paths"), -1
+    while (found := out.count()) != known:
+        longer = out.alias("f").join(out.alias("e"), F.col("f.b") == F.col("e.a")).select("f.a", "e.b")
+        out, known = scratch(constraints.sparkSession, out.union(longer).distinct(), "fk-paths"), found
     cyclic = out.where("a = b").select(F.col("a").alias("table_name")).distinct()
     return _rule(cyclic, "fkCycle", F.lit(""))
 

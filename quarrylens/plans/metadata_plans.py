@@ -9,10 +9,10 @@ from quarrylens.session import TABLES, table
 
 #: A small schema with known faults: table -> columns (name, type, length, nullable, default).
 FAULTY = {
-    "ORDERS": [("ID", "INT4", None, False, None), ("USER_ID", "VARCHAR", 10, True, None), ("MEMO", "CLOB", None, True, "'NULL'"), ("BODY", "BLOB", None, True, None)],
+    "ORDERS": [("ID", "INT4", None, False, None), ("USER_ID", "VARCHAR", 10, True, None), ("MEMO", "CLOB", None, True, "'NULL'"), ("BODY", "BLOB", None, True, "'NULL' || x")],
     "USERS": [("ID", "VARCHAR2", 20, False, None), ("EMAIL", "VARCHAR", 50, True, None), ("TEL1", "CHAR", 4, True, None), ("TEL2", "CHAR", 4, True, None), ("TEL3", "CHAR", 4, True, None), ("BOSS_ORDER", "INTEGER", None, True, None)],
     "LOGS": [("LINE", "VARCHAR", 400, True, None)],
-    "ITEMS": [("ORDER_ID", "INTEGER", None, False, None), ("NO", "INT", None, False, None), ("QTY", "NUMBER", 9, True, None)],
+    "ITEMS": [("ORDER_ID", "INTEGER", None, False, None), ("NO", "INT", None, False, None), ("QTY", "NUMBER", 9, True, None), ("COL10", "CHAR", 4, True, None), ("COL11", "CHAR", 4, True, None), ("COL12", "CHAR", 4, True, None)],
 }
 CONSTRAINTS = [
     ("ORDERS", "PK_O", "PK", ["ID"], None, None), ("USERS", "PK_U", "PK", ["ID"], None, None), ("USERS", "UQ_MAIL", "UQ", ["EMAIL"], None, None),
@@ -23,7 +23,7 @@ INDEXES = [("ITEMS", "IX_A", False, ["ORDER_ID"]), ("ITEMS", "IX_B", True, ["ORD
 #: What the rules find in it.
 EXPECTED = [
     ("fkNoIndex", "ORDERS", "USER_ID"), ("fkNoIndex", "ITEMS", "NO"), ("noRelation", "LOGS", ""), ("noIndex", "LOGS", ""), ("noPk", "ITEMS", ""), ("singleColumn", "LOGS", "1"),
-    ("tooManyColumns", "USERS", "6"), ("dupRelation", "ITEMS", "ORDER_ID->ORDERS"), ("serialColumns", "USERS", "TEL"), ("defaultNullString", "ORDERS", "MEMO"),
+    ("tooManyColumns", "USERS", "6"), ("tooManyColumns", "ITEMS", "6"), ("serialColumns", "ITEMS", "COL"), ("dupRelation", "ITEMS", "ORDER_ID->ORDERS"), ("serialColumns", "USERS", "TEL"), ("defaultNullString", "ORDERS", "MEMO"),
     ("fkTypeMismatch", "ORDERS", "USER_ID length"), ("dupIndex", "ITEMS", "IX_A"), ("dupIndex", "USERS", "IX_BOSS2"), ("uniqueNullable", "USERS", "EMAIL"), ("tooManyLobs", "ORDERS", "2"),
     ("fkCycle", "ORDERS", ""), ("fkCycle", "USERS", ""), ("missingRequired", "ORDERS", "REG_DT"), ("missingRequired", "USERS", "REG_DT"), ("missingRequired", "LOGS", "REG_DT"), ("missingRequired", "ITEMS", "REG_DT"),
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,6 +39,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LOCAL_CHECKPOINTS = "/tmp/quarrylens-checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir, with Spark's checkpoint folder set from it; a folder of our own only in local mode where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not where and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(where or LOCAL_CHECKPOINTS)
+    return where or LOCAL_CHECKPOINTS
+
+
+def scratch(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "quarrylens", cores: str | None = None, **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
