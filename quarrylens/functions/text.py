@@ -37,10 +37,10 @@ def mask(c: Column, head: int, tail: int) -> Column:
 
 
 def mask_email(c: Column, head: int, tail: int) -> Column:
-    """Masks the part before the first @ and keeps the domain; without an @ the whole text is masked."""
+    """Masks the part before the first @ and keeps the domain; without a part before an @ the whole text is masked."""
     at = F.instr(c, "@")
     local = F.substring_index(c, "@", 1)
-    return F.when(at == 0, mask(c, head, tail)).otherwise(F.concat(mask(local, head, tail), F.substring(c, at, F.length(c))))
+    return F.when(at <= 1, mask(c, head, tail)).otherwise(F.concat(mask(local, head, tail), F.substring(c, at, F.length(c))))
 
 
 def digest12(c: Column) -> Column:

@@ -16,13 +16,25 @@ from quarrylens.functions.text import excerpt
 
 @dataclass(frozen=True)
 class Rule:
-    """A line rule: a finding at each line that the pattern is found in; `when` must be found in the whole text first."""
+    """A line rule: a finding at each line that the pattern is found in; `when` must be found in the whole text first, a
+    match that holds `without` does not count, and only paths that fit one of the globs are scanned."""
 
     id: str
     pattern: str
     group: str = "common"
     severity: str = "warn"
     when: str = ""
+    without: str = ""
+    globs: tuple[str, ...] = ("*",)
+
+    def fits(self, path: Column) -> Column:
+        parts = [p.replace(".", r"\.").replace("*", ".*") for p in self.globs]
+        return F.lit(True) if "*" in self.globs else F.lower(path).rlike(f"^({'|'.join(parts)})$")
+
+    def hits(self, line: Column) -> Column:
+        if not self.without:
+            return line.rlike(self.pattern)
+        return F.exists(F.regexp_extract_all(line, F.lit(self.pattern), F.lit(0)), lambda m: ~m.rlike(self.without))
 
 
 #: Example rules that data files can trigger; the rule texts are this engine's own.
@@ -37,7 +49,9 @@ RULES = (
     Rule("license", r"(?i)\b(license|copyright)\b", "common", "info"),
 )
 
-MARK = r"(?:^|\s)(?://|#|--|/\*|<!--)\s*tb-ignore(-next)?(?:\s+([A-Za-z0-9_.,* -]*?))?\s*(?:\*/|-->)?\s*$"
+#: A marker is the first word after a comment sign; its rules are the list after white space, or all rules.
+MARK = r"(?://|/\*|\*|#|<!--|<%--|--)[ \t]*tb-ignore(-next)?(?![\w-])(?:[ \t]+([A-Za-z][A-Za-z0-9_.,]*))?"
+UNUSED = "common.unusedIgnore"
 
 
 def lines(corpus: DataFrame) -> DataFrame:
@@ -46,11 +60,16 @@ def lines(corpus: DataFrame) -> DataFrame:
 
 
 def line_rules(corpus: DataFrame, rules=RULES) -> DataFrame:
-    """path, line, rule, grp, severity, excerpt of every finding."""
-    gates = F.array_compact(F.array(*(F.when(F.col("text").rlike(r.when), r.id) for r in rules if r.when))) if any(r.when for r in rules) else F.array().cast("array<string>")
-    each = corpus.select("path", gates.alias("open"), F.posexplode(F.split("text", "\n")).alias("at", "content"))
-    hit = lambda r: F.col("content").rlike(r.pattern) & (F.array_contains("open", r.id) if r.when else F.lit(True))
-    found = F.array_compact(F.array(*(F.when(hit(r), F.struct(F.lit(r.id).alias("rule"), F.lit(r.group).alias("grp"), F.lit(r.severity).alias("severity"))) for r in rules)))
+    """path, line, rule, grp, severity, excerpt of every finding.
+
+    Every rule is first tried on the whole text (^ and $ at line ends); only texts that are hit are cut into lines, and a
+    line is only tried for the rules that hit its text."""
+    of_text = lambda r: r.fits(F.col("path")) & F.col("text").rlike(f"(?m){r.pattern}") & (F.col("text").rlike(r.when) if r.when else F.lit(True))
+    hit = F.array_compact(F.array(*(F.when(of_text(r), r.id) for r in rules)))
+    each = corpus.select("path", "text", hit.alias("open")).where(F.size("open") > 0).select("path", "open", F.posexplode(F.split("text", "\n")).alias("at", "content"))
+    found = F.array_compact(
+        F.array(*(F.when(F.array_contains("open", r.id) & r.hits(F.col("content")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.group).alias("grp"), F.lit(r.severity).alias("severity"))) for r in rules))
+    )
     return each.select("path", (F.col("at") + 1).alias("line"), F.explode(found).alias("f"), excerpt(F.col("content")).alias("excerpt")).select("path", "line", "f.rule", "f.grp", "f.severity", "excerpt")
 
 
@@ -62,9 +81,10 @@ def absent_rule(corpus: DataFrame, rule: str, when: str, required: str) -> DataF
 
 
 def count_rule(corpus: DataFrame, rule: str, pattern: str, most: int) -> DataFrame:
-    """path, rule, hits: texts with more than `most` matches."""
+    """path, line, rule, hits: texts with more than `most` matches, at the line of the first."""
     n = F.regexp_count("text", F.lit(pattern))
-    return corpus.select("path", F.lit(rule).alias("rule"), n.cast("long").alias("hits")).where(F.col("hits") > most)
+    first = F.array_position(F.transform(F.split("text", "\n"), lambda x: x.rlike(pattern)), True)
+    return corpus.select("path", first.cast("int").alias("line"), F.lit(rule).alias("rule"), n.cast("long").alias("hits")).where(F.col("hits") > most)
 
 
 def card_numbers(corpus: DataFrame) -> DataFrame:
@@ -73,13 +93,32 @@ def card_numbers(corpus: DataFrame) -> DataFrame:
     return runs.where(F.expr("luhn_check(number)")).distinct()
 
 
+def markers(corpus: DataFrame) -> DataFrame:
+    """path, at, number, line, ids of every marker: where it stands, its number on that line, the line it is for (null after the last line) and its rules (none: all)."""
+    text = F.split("text", "\n")
+    last = F.size(text) - F.when(F.element_at(text, -1) == "", 1).otherwise(0)
+    each = corpus.where(F.contains("text", F.lit("tb-ignore"))).select("path", last.alias("last"), F.posexplode(text).alias("k", "content"))
+    found = F.arrays_zip(F.regexp_extract_all("content", F.lit(MARK), F.lit(1)).alias("next"), F.regexp_extract_all("content", F.lit(MARK), F.lit(2)).alias("ids"))
+    each = each.select("path", "last", (F.col("k") + 1).alias("at"), F.posexplode(found).alias("number", "m"))
+    line = F.when(F.col("m.next") == "", F.col("at")).when(F.col("at") < F.col("last"), F.col("at") + 1)
+    return each.select("path", "at", "number", line.alias("line"), F.filter(F.split("m.ids", ","), lambda x: x != "").alias("ids"))
+
+
 def suppressed(findings: DataFrame, corpus: DataFrame) -> DataFrame:
-    """findings with `suppressed`: a marker on the line, or -next on the line before, names the rule, * or nothing."""
-    marks = lines(corpus).where(F.col("content").rlike(MARK)).select("path", (F.col("line") + F.when(F.regexp_extract("content", MARK, 1) != "", 1).otherwise(0)).alias("line"), F.regexp_extract("content", MARK, 2).alias("ids"))
-    marks = marks.groupBy("path", "line").agg(F.flatten(F.collect_set(F.split("ids", "[, ]+"))).alias("ids"), F.max(F.trim("ids").isin("", "*")).alias("every"))
-    return findings.join(marks, ["path", "line"], "left").withColumn("suppressed", F.coalesce(F.col("every") | F.array_contains("ids", F.col("rule")), F.lit(False))).drop("ids", "every")
+    """findings with `suppressed`: whether a marker for their line names their rule or none; findings of unused markers never are."""
+    marks = markers(corpus).where("line is not null").groupBy("path", "line").agg(F.flatten(F.collect_set("ids")).alias("ids"), F.max(F.size("ids") == 0).alias("every"))
+    hit = (F.col("every") | F.array_contains("ids", F.col("rule"))) & (F.col("rule") != UNUSED)
+    return findings.join(marks, ["path", "line"], "left").withColumn("suppressed", F.coalesce(hit, F.lit(False))).drop("ids", "every")
+
+
+def unused_markers(findings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """path, line, rule of the markers that suppress no finding, at the line where they stand."""
+    marks = markers(corpus)
+    rules = findings.where(F.col("rule") != UNUSED).groupBy("path", "line").agg(F.collect_set("rule").alias("rules"))
+    used = marks.join(rules, ["path", "line"]).where((F.size("ids") == 0) | F.arrays_overlap("ids", "rules")).select("path", "at", "number")
+    return marks.join(used, ["path", "at", "number"], "left_anti").select("path", F.col("at").alias("line"), F.lit(UNUSED).alias("rule"))
 
 
 def fingerprint(rules=RULES) -> Column:
     """A hash of the rules' definitions."""
-    return F.sha2(F.lit("\n".join("|".join((r.id, r.pattern, r.group, r.severity, r.when)) for r in sorted(rules, key=lambda r: r.id))), 256)
+    return F.sha2(F.lit("\n".join("|".join((r.id, r.pattern, r.group, r.severity, r.when, r.without, ",".join(r.globs))) for r in sorted(rules, key=lambda r: r.id))), 256)

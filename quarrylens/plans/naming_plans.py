@@ -72,8 +72,8 @@ QUERIES = {
         values([("B", "A", "A_ID"), ("C", "B", "B_ID")], 'child, parent, "column"'),
     ),
     "personal_columns": (
-        lambda s, d: masking.detect(s.createDataFrame([("T", "USER_NM", None), ("T", "HP_NO", ""), ("T", "X", "고객 이메일"), ("T", "QTY", ""), ("T", "BIRTH_DT", None), ("T", "CARD_NO", "계좌 연결")], "table_name string, name string, comment string")),
-        values([("T", "USER_NM", "name"), ("T", "HP_NO", "phone"), ("T", "X", "email"), ("T", "BIRTH_DT", "birth"), ("T", "CARD_NO", "account")], "table_name, name, kind"),
+        lambda s, d: masking.detect(s.createDataFrame([("T", "USER_NM", None), ("T", "HP_NO", ""), ("T", "X", "고객 이메일"), ("T", "QTY", ""), ("T", "BIRTH_DT", None), ("T", "CARD_NO", "계좌 연결"), ("T", "MENU_NM", "메뉴이름"), ("T", "IP_ADDR", "접속 IP주소"), ("T", "ADBK_ID", "주소록 ID"), ("T", "TELNO_YN", "전화번호 여부"), ("T", "USER_ADDR", None), ("T", "ACNUTNO", None)], "table_name string, name string, comment string")),
+        values([("T", "USER_NM", "name"), ("T", "HP_NO", "phone"), ("T", "X", "email"), ("T", "BIRTH_DT", "birth"), ("T", "CARD_NO", "account"), ("T", "USER_ADDR", "address"), ("T", "ACNUTNO", "account")], "table_name, name, kind"),
     ),
     "sample_rows": (
         lambda s, d: generate.sample_rows(s, table(s, d, "supplier").schema, 50),

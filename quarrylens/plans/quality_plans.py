@@ -94,7 +94,7 @@ QUERIES = {
     ),
     "mask_customer": (
         mask_customers,
-        f"SELECT c_custkey, {mask_sql('c_name', 4, 4)} AS c_name, {mask_sql('c_mktsegment', 2, 0)} || '@x.org' AS c_mail FROM customer",
+        f"SELECT c_custkey, {mask_sql('c_name', 6, 4)} AS c_name, {mask_sql('c_mktsegment', 2, 0)} || '@x.org' AS c_mail FROM customer",
     ),
     "mask_text": (
         mask_texts,

@@ -20,7 +20,11 @@ def pages(s, d):
 
 
 CORPUS = "SELECT printf('%08d', doc_id) AS path, text FROM documents"
-MARKED = [("a", "x = 1 // tb-ignore\nTODO: y\nsecret: k -- tb-ignore secret\n# tb-ignore-next todo\nTODO z tail"), ("b", "todo here // tb-ignore *\ntodo there"), ("c", None), ("d", "")]
+MARKED = [
+    ("a", "x = 1 // tb-ignore\nTODO: y\nsecret: k -- tb-ignore secret\n# tb-ignore-next todo\nTODO z tail"), ("b", "todo here // tb-ignore *\ntodo there"), ("c", None), ("d", ""),
+    ("e", "foo(); todo();// tb-ignore todo 이유 글\n<%-- tb-ignore-next --%>\ntodo\n * tb-ignore secret todo\ntodo // see tb-ignore\ntodo // tb-ignore-file\ntodo # tb-ignore-next\n"),
+    ("f", "todo /* tb-ignore secret */ // tb-ignore todo,tab"),
+]
 SQLS = [
     (1, "SELECT a.x FROM t1 a JOIN s.t2 b ON a.id = b.t1_id WHERE a.d = NULL LIMIT 5"),
     (2, "WITH c AS (SELECT * FROM t3) INSERT INTO t4 SELECT * FROM c, t5 x WHERE x.k = c.k"),
@@ -29,20 +33,44 @@ SQLS = [
     (5, "SELECT EXTRACT(DAY FROM d) FROM dual, t10 WHERE x NOT IN (SELECT y FROM t11) AND p IS DISTINCT FROM q"),
     (6, "UPDATE t12 SET a = '1' WHERE b = (SELECT max(b) FROM t13)"),
     (7, None),
+    (8, "UPDATE t SET a = 1, b = NULL WHERE c IN (SELECT d FROM u WHERE e <> NULL)"),
+    (9, "SELECT * FROM a, b WHERE a.x = 1 FETCH FIRST 1 ROWS ONLY"),
+    (10, "SELECT * FROM a CROSS JOIN b x JOIN c ORDER BY 1 LIMIT 5"),
+    (11, "SELECT * FROM a, b WHERE UPPER(a.n) = UPPER(b.n) AND ROWNUM <= 10"),
+    (12, "SELECT * FROM a, b WHERE a.n = z"),
+    (13, "INSERT IGNORE INTO x.y VALUES (1, NULL)"),
+    (14, "select * from t for share"),
+    (15, "ｓｅｌｅｃｔ 1"),
+    (16, "/* a */ -- b\n with c as (select 1) select * from c ; ;"),
+    (17, "select 'drop' from t"),
+    (18, "select 1 /* open"),
+    (19, "select /*M! 1 */ 1"),
+    (20, "select 1; select 2"),
+    (21, "select * from t with (updlock)"),
+    (22, "select 1INTO x"),
+    (23, "  ;"),
+    (24, "selection"),
 ]
 LINES = f"SELECT path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({CORPUS})"
 RULE_SQL = [(r.id, r.group, r.severity, r.pattern.replace("'", "''")) for r in scan.RULES]
 EXCERPT = "left(trim(content, ' '), 160)"
 
 
-def sqls(s):
-    return s.createDataFrame(SQLS, "id int, sql string")
+def sqls(s, rows=SQLS):
+    return s.createDataFrame(rows, "id int, sql string")
 
 
 def diff_input(s, d):
-    """Each document against itself with every line that holds a number changed and its last line dropped."""
-    t = table(s, d, "documents").where("text is not null")
-    return t.select("doc_id", F.col("text").alias("old"), F.regexp_replace("text", r"\n[^\n]*$", "").alias("new"))
+    """Each document against itself with every line that holds a digit changed and its last line of several dropped."""
+    lines = F.split("text", "\n")
+    changed = F.transform(lines, lambda x: F.when(x.rlike("[0-9]"), F.concat(x, F.lit(" ‹changed›"))).otherwise(x))
+    new = F.array_join(F.slice(changed, 1, F.greatest(F.size(changed) - 1, F.lit(1))), "\n")
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("old"), new.alias("new"))
+
+
+def diff_counts(s, d):
+    found = textdiff.diff_pairs(diff_input(s, d), "doc_id", "old", "new")
+    return found.groupBy("doc_id").agg(F.count_if(F.col("op") == "-").alias("removed"), F.count_if(F.col("op") == "+").alias("added"), F.count_if(F.col("op") == "?").alias("too_long"))
 
 
 QUERIES = {
@@ -60,7 +88,7 @@ QUERIES = {
     ),
     "count_rule": (
         lambda s, d: scan.count_rule(pages(s, d), "manyLinks", '<a href="', 5),
-        """SELECT CAST(page_id AS VARCHAR) AS path, 'manyLinks' AS rule, CAST(len(regexp_extract_all(html, '<a href="')) AS BIGINT) AS hits FROM pages WHERE len(regexp_extract_all(html, '<a href="')) > 5""",
+        """SELECT CAST(page_id AS VARCHAR) AS path, CAST(len(string_split(split_part(html, '<a href="', 1), chr(10))) AS INTEGER) AS line, 'manyLinks' AS rule, CAST(len(regexp_extract_all(html, '<a href="')) AS BIGINT) AS hits FROM pages WHERE len(regexp_extract_all(html, '<a href="')) > 5""",
     ),
     "luhn_cards": (
         lambda s, d: scan.card_numbers(corpus(s, d)),
@@ -70,7 +98,11 @@ QUERIES = {
     ),
     "suppressed": (
         lambda s, d: scan.suppressed(scan.line_rules(s.createDataFrame(MARKED, "path string, text string")), s.createDataFrame(MARKED, "path string, text string")).select("path", "line", "rule", "suppressed"),
-        "SELECT path, CAST(line AS INTEGER) AS line, rule, supp = 1 AS suppressed FROM (" + values([("a", 2, "todo", 0), ("a", 3, "secret", 1), ("a", 4, "todo", 0), ("a", 5, "todo", 1), ("b", 1, "todo", 1), ("b", 2, "todo", 0)], "path, line, rule, supp") + ")",
+        "SELECT path, CAST(line AS INTEGER) AS line, rule, supp = 1 AS suppressed FROM (" + values([("a", 2, "todo", 0), ("a", 3, "secret", 1), ("a", 4, "todo", 0), ("a", 5, "todo", 1), ("b", 1, "todo", 1), ("b", 2, "todo", 0), ("e", 1, "todo", 1), ("e", 3, "todo", 1), ("e", 4, "todo", 0), ("e", 5, "todo", 0), ("e", 6, "todo", 0), ("e", 7, "todo", 0), ("f", 1, "todo", 1)], "path, line, rule, supp") + ")",
+    ),
+    "unused_markers": (
+        lambda s, d: scan.unused_markers(scan.line_rules(s.createDataFrame(MARKED, "path string, text string")), s.createDataFrame(MARKED, "path string, text string")),
+        values([("a", 1, scan.UNUSED), ("e", 4, scan.UNUSED), ("e", 7, scan.UNUSED), ("f", 1, scan.UNUSED)], "path, line, rule"),
     ),
     "duplicate_blocks": (
         lambda s, d: duplicates.duplicate_blocks(corpus(s, d), 3),
@@ -90,14 +122,16 @@ QUERIES = {
         """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""",
     ),
     "line_diff": (
-        lambda s, d: textdiff.diff_pairs(diff_input(s, d), "doc_id", "old", "new").select("doc_id", "op", "old_line", "text"),
-        "SELECT doc_id, '-' AS op, CAST(len(string_split(text, chr(10))) AS INTEGER) AS old_line, regexp_extract(text, '([^\\n]*)$', 1) AS text FROM documents WHERE contains(text, chr(10))",
+        diff_counts,
+        """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '[0-9]'))) AS k, CASE WHEN len(l) > 1 THEN 1 ELSE 0 END AS cut, CASE WHEN len(l) > 1 AND regexp_matches(l[-1], '[0-9]') THEN 1 ELSE 0 END AS cut_and_changed FROM l)
+        SELECT doc_id, k + cut - cut_and_changed AS removed, k - cut_and_changed AS added, 0 AS too_long FROM c WHERE k + cut > 0""",
     ),
     "sql_tables": (
-        lambda s, d: sqltext.table_refs(sqls(s), "sql", "id"),
+        lambda s, d: sqltext.table_refs(sqls(s, SQLS[:7]), "sql", "id"),
         values([(1, "T1", "R"), (1, "T2", "R"), (2, "T3", "R"), (2, "T4", "C"), (2, "T5", "R"), (3, "T6", "RD"), (3, "T7", "R"), (4, "T8", "U"), (4, "T9", "R"), (5, "T10", "R"), (5, "T11", "R"), (6, "T12", "U"), (6, "T13", "R")], "id, table_name, crud"),
     ),
-    "sql_joins": (lambda s, d: sqltext.join_equalities(sqls(s), "sql", "id"), values([(1, "T1", "ID", "T2", "T1_ID"), (3, "T6", "A", "T7", "B"), (4, "T8", "ID", "T9", "ID")], "id, table_a, col_a, table_b, col_b").replace("(4,", "(4, 'T8', 'V', 'T9', 'V'), (4,")),
-    "sql_lint": (lambda s, d: sqltext.lint_sql(sqls(s), "sql", "id"), values([(1, "nullCompare"), (1, "pagingOrder"), (2, "insertColumns"), (5, "notInQuery")], "id, rule")),
-    "sql_gate": (lambda s, d: sqltext.gate(sqls(s), "sql", "id"), "SELECT id, id IN (1, 5) AS read_only FROM (VALUES (1), (2), (3), (4), (5), (6), (7)) AS v(id)"),
+    "sql_joins": (lambda s, d: sqltext.join_equalities(sqls(s, SQLS[:7]), "sql", "id"), values([(1, "T1", "ID", "T2", "T1_ID"), (3, "T6", "A", "T7", "B"), (4, "T8", "ID", "T9", "ID")], "id, table_a, col_a, table_b, col_b").replace("(4,", "(4, 'T8', 'V', 'T9', 'V'), (4,")),
+    "sql_lint": (lambda s, d: sqltext.lint_sql(sqls(s), "sql", "id"), values([(1, "nullCompare"), (1, "pagingOrder"), (2, "insertColumns"), (5, "crossJoin"), (5, "notInQuery"), (8, "nullCompare"), (9, "crossJoin"), (10, "crossJoin"), (11, "pagingOrder"), (13, "insertColumns")], "id, rule")),
+    "sql_gate": (lambda s, d: sqltext.gate(sqls(s), "sql", "id"), "SELECT CAST(id AS INTEGER) AS id, id IN (1, 5, 9, 10, 11, 12, 16) AS read_only FROM range(1, 25) t(id)"),
 }
