@@ -22,10 +22,16 @@ def module_matrix(crud: DataFrame, programs: DataFrame) -> DataFrame:
     return crud_long(crud).join(programs.select("program_id", "module"), "program_id").groupBy("table_name", "module").agg(letters(F.col("crud")).alias("crud"))
 
 
-def crud_matrix(crud: DataFrame, key: str, tables: list[str]) -> DataFrame:
-    """One row for each key, one column for each given table, with the letters or an empty text."""
-    wide = crud.groupBy(key).agg(*(F.concat(*(F.max(F.when((F.col("table_name") == t) & F.col("crud").contains(x), x).otherwise("")) for x in LETTERS)).alias(a) for t, a in ((t, t.lower().replace("#", "_")) for t in tables)))
-    return wide
+def crud_matrix(crud: DataFrame, key: str, tables: list[str] | None = None, most: int = 10_000) -> DataFrame:
+    """One row for each key, one column for each table in order of name, with the letters or an empty text.
+
+    Without `tables` they are those of the rows; more than `most` of them are refused, as columns cannot be that many."""
+    if tables is None:
+        tables = sorted(r[0] for r in crud.select("table_name").distinct().limit(most + 1).collect())
+        if len(tables) > most:
+            raise ValueError(f"over {most} tables cannot be columns")
+    cell = lambda t, x: F.max(F.when((F.col("table_name") == t) & F.col("crud").contains(x), x).otherwise(""))
+    return crud.groupBy(key).agg(*(F.concat(*(cell(t, x) for x in LETTERS)).alias(t.lower().replace("#", "_")) for t in tables))
 
 
 def program_counts(crud: DataFrame) -> DataFrame:
@@ -78,8 +84,8 @@ def suffix_match(views: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def reached_risks(risks: DataFrame, programs: DataFrame) -> DataFrame:
-    """Risks with the number of programs that reach them; 0 if none does."""
-    return risks.join(programs.select("ns_id", "program_id"), "ns_id", "left").groupBy("risk_id", "ns_id").agg(F.count("program_id").alias("reached"))
+    """Risks with the number of programs that reach them (0 if none does), those that most reach first."""
+    return risks.join(programs.select("ns_id", "program_id"), "ns_id", "left").groupBy("risk_id", "ns_id").agg(F.count("program_id").alias("reached")).orderBy(F.desc("reached"), "risk_id")
 
 
 def menu_overlay(programs: DataFrame, menus: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,18 +8,19 @@ from quarrylens.functions.text import url_module, url_normalise
 from quarrylens.operators import lineage
 from quarrylens.session import table
 
-CRUD = "SELECT l_suppkey AS program_id, p_brand AS table_name, translate(l_returnflag, 'ANR', 'CRU') || CASE WHEN l_linenumber = 7 THEN 'D' ELSE '' END AS crud FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity < 12"
+CRUD = "SELECT l_suppkey AS program_id, p_brand AS table_name, translate(l_returnflag, 'ANR', 'CRU') || CASE WHEN l_linenumber = 7 THEN 'D' ELSE '' END AS crud FROM lineitem JOIN part ON p_partkey = l_partkey"
 PROGRAMS = "SELECT s_suppkey AS program_id, '/n' || s_nationkey AS url, 'm' || (s_suppkey % 4) AS module, 'ns.q' || s_suppkey AS ns_id FROM supplier"
 LINKS = "SELECT '/n' || n_nationkey AS url, 'screen' || n_regionkey AS screen FROM nation WHERE n_nationkey % 5 <> 0"
 STATEMENTS = "SELECT 'q.' || replace(p_type, ' ', '.') || '.' || p_size AS ns_id FROM part"
 CALLED = f"SELECT DISTINCT ns_id FROM ({STATEMENTS}) WHERE ns_id LIKE '%5'"
+CALLED_BY_PREFIX = "SELECT DISTINCT 'q.' || replace(p_type, ' ', '.') || '.' AS prefix FROM part WHERE p_size > 45 AND p_brand = 'Brand#55'"
 PREFIXES = "SELECT DISTINCT 'q.' || split_part(p_type, ' ', 1) || '.' AS prefix FROM part WHERE p_size < 3"
 UNION_LETTERS = "concat(max(CASE WHEN contains(crud, 'C') THEN 'C' ELSE '' END), max(CASE WHEN contains(crud, 'R') THEN 'R' ELSE '' END), max(CASE WHEN contains(crud, 'U') THEN 'U' ELSE '' END), max(CASE WHEN contains(crud, 'D') THEN 'D' ELSE '' END))"
-BRANDS = ["Brand#1", "Brand#2", "Brand#3"]
+BRANDS = [f"Brand#{maker}{line}" for maker in range(1, 6) for line in range(1, 6)]
 
 
 def crud(s, d):
-    l = table(s, d, "lineitem").where("l_quantity < 12")
+    l = table(s, d, "lineitem")
     letter = F.concat(F.translate("l_returnflag", "ANR", "CRU"), F.when(F.col("l_linenumber") == 7, "D").otherwise(""))
     return l.join(table(s, d, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("program_id"), F.col("p_brand").alias("table_name"), letter.alias("crud"))
 
@@ -45,10 +46,14 @@ def prefixes(s, d):
     return table(s, d, "part").where("p_size < 3").select(F.concat(F.lit("q."), F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit(".")).alias("prefix")).distinct()
 
 
+def called_by_prefix(s, d):
+    return table(s, d, "part").where("p_size > 45 and p_brand = 'Brand#55'").select(F.concat(F.lit("q."), F.replace("p_type", F.lit(" "), F.lit(".")), F.lit(".")).alias("prefix")).distinct()
+
+
 def stock(s, d):
-    """Brands as database tables: one in five out of scope, those of small parts only empty."""
-    p = table(s, d, "part").groupBy(F.lower("p_brand").alias("table_name")).agg(F.max("p_size").alias("m"))
-    return p.select("table_name", F.when(F.col("m") > 40, F.lit(None)).otherwise(F.lit(0)).cast("long").alias("row_count"))
+    """Database tables: brands, which code uses, and types of parts, which it does not; those of small parts only are empty."""
+    names = table(s, d, "part").select(F.explode(F.array(F.lower("p_brand"), F.lower("p_type"))).alias("table_name"), "p_size")
+    return names.groupBy("table_name").agg(F.when(F.max("p_size") > 40, F.lit(None)).otherwise(F.lit(0)).cast("long").alias("row_count"))
 
 
 def risks(s, d):
@@ -66,21 +71,21 @@ QUERIES = {
     "crud_long": (lambda s, d: lineage.crud_long(crud(s, d)), f"SELECT program_id, table_name, {UNION_LETTERS} AS crud FROM ({CRUD}) GROUP BY ALL"),
     "module_matrix": (lambda s, d: lineage.module_matrix(crud(s, d), programs(s, d)), f"SELECT table_name, module, {UNION_LETTERS} AS crud FROM ({CRUD}) JOIN ({PROGRAMS}) USING (program_id) GROUP BY ALL"),
     "crud_matrix": (
-        lambda s, d: lineage.crud_matrix(crud(s, d).withColumn("table_name", F.substring("table_name", 1, 7)), "program_id", BRANDS),
-        "WITH c AS (SELECT program_id, left(table_name, 7) AS table_name, crud FROM (" + CRUD + ")) SELECT program_id, " + ", ".join(f"concat({', '.join(f'''max(CASE WHEN table_name = '{b}' AND contains(crud, '{x}') THEN '{x}' ELSE '' END)''' for x in 'CRUD')}) AS {b.lower().replace('#', '_')}" for b in BRANDS) + " FROM c GROUP BY 1",
+        lambda s, d: lineage.crud_matrix(crud(s, d), "program_id", BRANDS),
+        "WITH c AS (" + CRUD + ") SELECT program_id, " + ", ".join(f"concat({', '.join(f'''max(CASE WHEN table_name = '{b}' AND contains(crud, '{x}') THEN '{x}' ELSE '' END)''' for x in 'CRUD')}) AS {b.lower().replace('#', '_')}" for b in BRANDS) + " FROM c GROUP BY 1",
     ),
     "program_counts": (lambda s, d: lineage.program_counts(crud(s, d)), f"SELECT table_name, count(DISTINCT program_id) AS programs FROM ({CRUD}) GROUP BY 1"),
     "impact": (lambda s, d: lineage.impact(crud(s, d), programs(s, d), links(s, d)), f"SELECT DISTINCT table_name, program_id, screen FROM ({CRUD}) JOIN ({PROGRAMS}) USING (program_id) LEFT JOIN ({LINKS}) USING (url)"),
     "programs_touching": (lambda s, d: lineage.touching(programs(s, d), crud(s, d), "Brand#12"), f"SELECT * FROM ({PROGRAMS}) WHERE program_id IN (SELECT program_id FROM ({CRUD}) WHERE table_name = 'Brand#12')"),
     "consistency": (
-        lambda s, d: lineage.consistency(crud(s, d).where("program_id % 3 = 0 and table_name < 'Brand#4'").union(s.createDataFrame([(0, "TB_GHOST", "R")], "a long, b string, c string")), stock(s, d), F.col("table_name").endswith("5")),
-        f"""WITH c AS (SELECT DISTINCT upper(table_name) AS t FROM ({CRUD}) WHERE program_id % 3 = 0 AND table_name < 'Brand#4' UNION SELECT 'TB_GHOST'), b AS (SELECT lower(p_brand) AS n, CASE WHEN max(p_size) > 40 THEN NULL ELSE 0 END AS r FROM part GROUP BY 1)
+        lambda s, d: lineage.consistency(crud(s, d).union(s.createDataFrame([(0, "TB_GHOST", "R")], "a long, b string, c string")), stock(s, d), F.col("table_name").endswith("brass")),
+        f"""WITH c AS (SELECT DISTINCT upper(table_name) AS t FROM ({CRUD}) UNION SELECT 'TB_GHOST'), b AS (SELECT n, CASE WHEN max(p_size) > 40 THEN NULL ELSE 0 END AS r FROM (SELECT lower(p_brand) AS n, p_size FROM part UNION ALL SELECT lower(p_type), p_size FROM part) GROUP BY 1)
         SELECT t AS table_name, 'missing_in_db' AS side, 'none' AS reason FROM c WHERE t NOT IN (SELECT upper(n) FROM b)
-        UNION ALL SELECT upper(n), 'unused_in_code', CASE WHEN n LIKE '%5' THEN 'scope' WHEN r = 0 THEN 'empty' ELSE 'none' END FROM b WHERE upper(n) NOT IN (SELECT t FROM c)""",
+        UNION ALL SELECT upper(n), 'unused_in_code', CASE WHEN n LIKE '%brass' THEN 'scope' WHEN r = 0 THEN 'empty' ELSE 'none' END FROM b WHERE upper(n) NOT IN (SELECT t FROM c)""",
     ),
     "orphan_statements": (
-        lambda s, d: lineage.orphan_statements(statements(s, d).distinct(), called(s, d), prefixes(s, d).limit(0).union(s.createDataFrame([("q.PROMO",), ("q.STANDARD.A",)], "prefix string"))),
-        f"SELECT DISTINCT ns_id FROM ({STATEMENTS}) WHERE ns_id NOT LIKE '%5' AND NOT starts_with(ns_id, 'q.PROMO') AND NOT starts_with(ns_id, 'q.STANDARD.A')",
+        lambda s, d: lineage.orphan_statements(statements(s, d).distinct(), called(s, d), called_by_prefix(s, d)),
+        f"SELECT DISTINCT ns_id FROM ({STATEMENTS}) s WHERE ns_id NOT LIKE '%5' AND NOT EXISTS (SELECT 1 FROM ({CALLED_BY_PREFIX}) p WHERE starts_with(s.ns_id, p.prefix))",
     ),
     "prefix_expand": (
         lambda s, d: lineage.prefix_expand(statements(s, d).distinct(), prefixes(s, d)),
