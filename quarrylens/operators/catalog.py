@@ -147,3 +147,69 @@ def examples(missing: DataFrame, most: int = 3) -> DataFrame:
     w = Window.partitionBy("token").orderBy("at")
     ranked = distinct.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     return ranked.groupBy("token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "at"))), lambda x: x["at"]), ", ").alias("samples"))
+
+
+def index_columns(columns: DataFrame, expressions: DataFrame) -> DataFrame:
+    """columns (owner, name, place, column, descending) with the expression in place of the generated column of an expression index."""
+    own = expressions.select("owner", "name", "place", "expression")
+    return columns.join(own, ["owner", "name", "place"], "left").select("owner", "name", "place", F.coalesce("expression", "column").alias("column"), "descending")
+
+
+def described_columns(classes: DataFrame, namespaces: DataFrame, attributes: DataFrame, descriptions: DataFrame, schema: str) -> DataFrame:
+    """table_name, column, comment of the living columns (number above 0, not dropped) of a schema's tables and views; number 0 in descriptions is the table itself."""
+    own = classes.where(F.col("kind").isin("r", "p", "v")).join(namespaces.where(F.col("schema_name") == schema), "namespace").select("class", "table_name")
+    living = attributes.where("number > 0 and not dropped").select("class", "number", "column")
+    rows = own.join(living, "class").select("class", "table_name", "number", "column").union(own.select("class", "table_name", F.lit(0), F.lit("")))
+    return rows.join(descriptions, ["class", "number"]).select("table_name", "column", "comment")
+
+
+def extended_comments(objects: DataFrame, schemas: DataFrame, columns: DataFrame, properties: DataFrame, schema: str) -> DataFrame:
+    """table_name, column, comment from the description properties of a schema's tables and views and of their columns."""
+    own = objects.where(F.col("type").isin("U", "V")).join(schemas.where(F.col("schema_name") == schema), "schema_id").select("object_id", "table_name")
+    said = properties.where("class = 1 and property = 'MS_Description'").select(F.col("major").alias("object_id"), F.col("minor").alias("column_id"), F.col("value").alias("comment"))
+    parts = own.join(columns, "object_id").select("object_id", "column_id", "table_name", "column").union(own.select("object_id", F.lit(0), "table_name", F.lit("")))
+    return parts.join(said, ["object_id", "column_id"]).select("table_name", "column", "comment")
+
+
+def table_info(rows: DataFrame, schema: str) -> DataFrame:
+    """table_name, comment, row_count, is_view of a schema: empty comments and a view's placeholder comment are none, views have no row count."""
+    view = F.upper("type").contains("VIEW")
+    comment = F.nullif(F.when(view & (F.upper("comment") == "VIEW"), F.lit("")).otherwise(F.trim("comment")), F.lit(""))
+    return rows.where(F.col("schema_name") == schema).select("table_name", comment.alias("comment"), F.when(~view, F.col("row_count")).alias("row_count"), view.alias("is_view"))
+
+
+def named_checks(checks: DataFrame, constraints: DataFrame) -> DataFrame:
+    """table_name, name, condition of checks that carry no table: it comes from the constraint of that schema, name and kind."""
+    own = constraints.where("type = 'CHECK'").select("schema_name", "name", "table_name")
+    return checks.join(own, ["schema_name", "name"]).select("table_name", "name", "condition")
+
+
+def schema_bytes(rows: DataFrame, schema: str) -> DataFrame:
+    """One row: the bytes of a schema's data and indexes; a table that lacks either does not count, as a sum with null is null."""
+    return rows.where(F.col("schema_name") == schema).agg(F.sum(F.col("data_bytes") + F.col("index_bytes")).alias("bytes"))
+
+
+def listed_types(columns: DataFrame, types: DataFrame) -> DataFrame:
+    """columns with the full type text of enum and set columns, which drivers give without their values."""
+    full = types.where(F.lower("data_type").isin("enum", "set")).select("table_name", "name", "column_type")
+    return columns.join(full, ["table_name", "name"], "left").withColumn("native_type", F.coalesce("column_type", "native_type")).drop("column_type")
+
+
+def tables_of(rows: DataFrame, schema: str) -> DataFrame:
+    """Tables and views of exactly one schema, whatever signs its name holds: plain equality, so nothing is to be escaped."""
+    return rows.where((F.col("schema_name") == schema) & F.col("type").isin("TABLE", "VIEW"))
+
+
+#: Fixed table: native types to the driver's type codes.
+JDBC_CODES = {
+    "CHAR": 1, "NUMBER": 2, "NUMERIC": 2, "DECIMAL": 3, "INTEGER": 4, "INT": 4, "SMALLINT": 5, "FLOAT": 6, "REAL": 7, "DOUBLE": 8, "BINARY_FLOAT": 6, "BINARY_DOUBLE": 8, "VARCHAR": 12, "VARCHAR2": 12,
+    "NCHAR": -15, "NVARCHAR": -9, "NVARCHAR2": -9, "LONG": -1, "RAW": -3, "LONG RAW": -4, "DATE": 93, "TIMESTAMP": 93, "BLOB": 2004, "CLOB": 2005, "NCLOB": 2011,
+}
+
+
+def dictionary_columns(rows: DataFrame, owner: str) -> DataFrame:
+    """table_name, name, ordinal, native_type, jdbc_type, length, nullable of an owner's dictionary rows: texts count in characters, numbers in digits; unknown types are OTHER (1111)."""
+    plain = F.trim(F.regexp_replace(F.upper("data_type"), r"\(.*?\)", ""))
+    code = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in JDBC_CODES.items() for x in kv)), plain), F.lit(1111))
+    length = F.when(plain.contains("CHAR"), F.col("char_length")).otherwise(F.coalesce("data_precision", "data_length"))
+    return rows.where(F.col("owner") == owner).select("table_name", F.col("column").alias("name"), F.col("column_id").alias("ordinal"), F.col("data_type").alias("native_type"), code.alias("jdbc_type"), length.alias("length"), (F.col("nullable") == "Y").alias("nullable"))

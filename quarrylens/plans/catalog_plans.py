@@ -99,4 +99,47 @@ QUERIES = {
         f"""WITH t AS (SELECT DISTINCT unnest(string_split(upper(name), '_')) AS token, table_name || '.' || upper(name) AS at_ FROM ({column_values()})), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY at_) AS k FROM t WHERE token <> '' AND token NOT IN (SELECT abbr FROM ({W})))
         SELECT token, string_agg(at_, ', ' ORDER BY k) AS samples FROM r WHERE k <= 3 GROUP BY 1""",
     ),
+    "index_columns": (
+        lambda s, d: catalog.index_columns(
+            s.createDataFrame([("O", "IX", 1, "A", False), ("O", "IX", 2, "SYS_NC1$", True), ("P", "IX", 2, "B", False)], "owner string, name string, place int, column string, descending boolean"),
+            s.createDataFrame([("O", "IX", 2, "UPPER(B)")], "owner string, name string, place int, expression string"),
+        ),
+        values([("O", "IX", 1, "A", False), ("O", "IX", 2, "UPPER(B)", True), ("P", "IX", 2, "B", False)], 'owner, name, place, "column", descending'),
+    ),
+    "described_columns": (
+        lambda s, d: catalog.described_columns(
+            s.createDataFrame([(1, 10, "t", "r"), (2, 10, "i", "i"), (3, 11, "t", "r")], "class int, namespace int, table_name string, kind string"), s.createDataFrame([(10, "app"), (11, "other")], "namespace int, schema_name string"),
+            s.createDataFrame([(1, 1, "a", False), (1, 2, "gone", True), (1, -1, "ctid", False), (3, 1, "z", False)], "class int, number int, column string, dropped boolean"),
+            s.createDataFrame([(1, 0, "the table"), (1, 1, "the column"), (1, 2, "x"), (2, 0, "x"), (3, 1, "x")], "class int, number int, comment string"), "app",
+        ),
+        values([("t", "", "the table"), ("t", "a", "the column")], 'table_name, "column", comment'),
+    ),
+    "extended_comments": (
+        lambda s, d: catalog.extended_comments(
+            s.createDataFrame([(1, 5, "T", "U"), (2, 5, "P", "P"), (3, 6, "T", "U")], "object_id int, schema_id int, table_name string, type string"), s.createDataFrame([(5, "dbo"), (6, "x")], "schema_id int, schema_name string"),
+            s.createDataFrame([(1, 1, "A"), (1, 2, "B"), (3, 1, "A")], "object_id int, column_id int, column string"),
+            s.createDataFrame([(1, 0, 1, "MS_Description", "t"), (1, 2, 1, "MS_Description", "b"), (1, 1, 1, "Other", "x"), (1, 1, 7, "MS_Description", "x"), (3, 0, 1, "MS_Description", "x")], "major int, minor int, class int, property string, value string"), "dbo",
+        ),
+        values([("T", "", "t"), ("T", "B", "b")], 'table_name, "column", comment'),
+    ),
+    "table_info": (
+        lambda s, d: catalog.table_info(s.createDataFrame([("a", "T", " hello ", 5, "BASE TABLE"), ("a", "V", "VIEW", 3, "VIEW"), ("a", "E", "", 0, "BASE TABLE"), ("b", "X", "x", 1, "BASE TABLE")], "schema_name string, table_name string, comment string, row_count long, type string"), "a"),
+        values([("T", "hello", 5, False), ("V", None, None, True), ("E", None, 0, False)], "table_name, comment, row_count, is_view"),
+    ),
+    "named_checks": (
+        lambda s, d: catalog.named_checks(
+            s.createDataFrame([("a", "c1", "x > 0"), ("a", "c2", "y > 0"), ("b", "c1", "z > 0")], "schema_name string, name string, condition string"),
+            s.createDataFrame([("a", "c1", "T", "CHECK"), ("a", "c2", "T", "UNIQUE"), ("b", "c1", "U", "CHECK")], "schema_name string, name string, table_name string, type string"),
+        ),
+        values([("T", "c1", "x > 0"), ("U", "c1", "z > 0")], "table_name, name, condition"),
+    ),
+    "schema_bytes": (lambda s, d: catalog.schema_bytes(s.createDataFrame([("a", 10, 5), ("a", None, 3), ("a", 7, 0), ("b", 99, 99)], "schema_name string, data_bytes long, index_bytes long"), "a"), "SELECT CAST(22 AS BIGINT) AS bytes"),
+    "listed_types": (
+        lambda s, d: catalog.listed_types(s.createDataFrame([("T", "A", "ENUM"), ("T", "B", "INT")], "table_name string, name string, native_type string"), s.createDataFrame([("T", "A", "enum", "enum('x','y')"), ("T", "B", "int", "int(11)")], "table_name string, name string, data_type string, column_type string")),
+        values([("T", "A", "enum('x','y')"), ("T", "B", "INT")], "table_name, name, native_type"),
+    ),
+    "tables_of": (
+        lambda s, d: catalog.tables_of(s.createDataFrame([("a_b", "T", "TABLE"), ("axb", "T", "TABLE"), ("a_b", "V", "VIEW"), ("a_b", "S", "SEQUENCE")], "schema_name string, table_name string, type string"), "a_b").select("table_name", "type"),
+        values([("T", "TABLE"), ("V", "VIEW")], "table_name, type"),
+    ),
 }
