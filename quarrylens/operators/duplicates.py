@@ -1,8 +1,9 @@
 """Duplicate blocks across texts: windows of equal normalised lines, merged to maximal blocks against the earliest site.
 
-A window is `size` consecutive non-blank lines. Windows are hashed within their row, grouped by hash to their earliest
-site (pre-aggregated, so a window of any frequency is no hot group), and consecutive hits on the same earlier site
-are merged by gaps and islands.
+A window is `size` consecutive non-blank lines. Lines are hashed once, a window's hash is that of its lines' hashes, so a
+window costs no text of its own. Windows are grouped by hash to their earliest site (pre-aggregated); only windows that
+occur more than once are joined back, in a plain shuffled join that Spark's adaptive skew join splits where one window
+is very common. Consecutive hits on the same earlier site are merged by gaps and islands.
 """
 
 from __future__ import annotations
@@ -12,19 +13,29 @@ from pyspark.sql import functions as F
 
 
 def windows(corpus: DataFrame, size: int) -> DataFrame:
-    """path, at (from 0, among non-blank lines), block (the normalised lines)."""
+    """path, at (from 0, among non-blank lines), h (the hash of the normalised lines)."""
     plain = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    rows = corpus.select("path", plain.alias("l"))
-    blocks = F.when(F.size("l") >= size, F.transform(F.sequence(F.lit(0), F.size("l") - size), lambda i: F.array_join(F.slice("l", i + 1, size), "\n")))
-    return rows.select("path", F.posexplode(blocks).alias("at", "block"))
+    rows = corpus.select("path", F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))).alias("l"))
+    blocks = F.when(F.size("l") >= size, F.transform(F.sequence(F.lit(0), F.size("l") - size), lambda i: F.xxhash64(F.slice("l", i + 1, size))))
+    return rows.select("path", F.posexplode(blocks).alias("at", "h"))
 
 
 def duplicate_blocks(corpus: DataFrame, size: int = 3) -> DataFrame:
     """path, first_at, lines, of_path, of_at: runs of lines that stand earlier in another text (texts in order of path)."""
-    hashed = windows(corpus, size).select("path", "at", F.sha2("block", 256).alias("h"))
+    hashed = windows(corpus, size)
     first = hashed.groupBy("h").agg(F.min(F.struct("path", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     hits = hashed.join(first, "h").where("path <> first.path").select("path", "at", F.col("first.path").alias("of_path"), F.col("first.at").alias("of_at"))
     w = Window.partitionBy("path", "of_path", "line").orderBy("at")
     islands = hits.withColumn("line", F.col("of_at") - F.col("at")).withColumn("island", F.col("at") - F.row_number().over(w))
     runs = islands.groupBy("path", "of_path", "line", "island").agg(F.min("at").alias("first_at"), F.count("*").alias("n"), F.min("of_at").alias("of_at"))
     return runs.select("path", "first_at", (F.col("n") + size - 1).alias("lines"), "of_path", "of_at")
+
+
+def reportable(blocks: DataFrame, changed: DataFrame) -> DataFrame:
+    """The blocks that concern changed texts (path): as they are if the later site is changed, turned round if only the earlier one is; others are left out.
+
+    blocks come from all texts, so an unchanged one can still be the earlier site."""
+    paths = changed.select("path").distinct()
+    later = blocks.join(paths, "path", "left_semi")
+    earlier = blocks.join(paths, "path", "left_anti").join(paths.withColumnRenamed("path", "of_path"), "of_path", "left_semi")
+    return later.select("path", "first_at", "lines", "of_path", "of_at").union(earlier.select(F.col("of_path"), F.col("of_at"), "lines", F.col("path"), F.col("first_at")))

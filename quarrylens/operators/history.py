@@ -36,6 +36,12 @@ def trend(runs: DataFrame, findings: DataFrame) -> DataFrame:
     return out.select("run_id", F.coalesce("total", F.lit(0)).alias("total"), value(F.col("fixed")).alias("fixed"), value(F.col("added")).alias("added"))
 
 
+def trend_parts(runs: DataFrame, findings: DataFrame, part: str) -> DataFrame:
+    """run_id, part, cnt of the runs that a trend plots: its points by group, by severity or by another column."""
+    plotted = runs.where(~F.col("changed_only")).select("run_id")
+    return findings.groupBy("run_id", part).agg(F.count("*").alias("cnt")).join(plotted, "run_id", "left_semi")
+
+
 def folder_rollup(findings: DataFrame, path: str, depth: int, now: Column, before: Column) -> DataFrame:
     return findings.groupBy(folder_at(F.col(path), depth).alias("folder")).agg(F.count_if(now).alias("now"), F.count_if(before).alias("before"))
 

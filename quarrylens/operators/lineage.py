@@ -48,14 +48,15 @@ def touching(programs: DataFrame, crud: DataFrame, table_name: str) -> DataFrame
     return programs.join(crud.where(F.col("table_name") == table_name), "program_id", "left_semi")
 
 
-def consistency(code: DataFrame, db: DataFrame, excluded: Column) -> DataFrame:
+def consistency(code: DataFrame, db: DataFrame, excluded: Column, other_schema: Column | None = None) -> DataFrame:
     """table_name, side, reason: tables in code that the database lacks and the other way round; names compare without case.
 
-    db: table_name, row_count (null: unknown); `excluded` is a condition on db's rows."""
+    db: table_name, row_count (null: unknown); `excluded` and `other_schema` (tables of schemas that the code does not use)
+    are conditions on db's rows."""
     in_code = code.select(F.upper("table_name").alias("table_name")).distinct()
-    in_db = db.select(F.upper("table_name").alias("table_name"), "row_count", excluded.alias("out_of_scope"))
+    in_db = db.select(F.upper("table_name").alias("table_name"), "row_count", excluded.alias("out_of_scope"), (F.lit(False) if other_schema is None else other_schema).alias("elsewhere"))
     missing = in_code.join(in_db, "table_name", "left_anti").select("table_name", F.lit("missing_in_db").alias("side"), F.lit("none").alias("reason"))
-    reason = F.when(F.col("out_of_scope"), "scope").when(F.col("row_count") == 0, "empty").otherwise("none")
+    reason = F.when(F.col("out_of_scope"), "scope").when(F.col("elsewhere"), "schema").when(F.col("row_count") == 0, "empty").otherwise("none")
     unused = in_db.join(in_code, "table_name", "left_anti").select("table_name", F.lit("unused_in_code").alias("side"), reason.alias("reason"))
     return missing.union(unused)
 

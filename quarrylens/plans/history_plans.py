@@ -27,6 +27,8 @@ def runs(s, d):
 
 
 QUERIES = {
+    "trend_groups": (lambda s, d: history.trend_parts(runs(s, d), findings(s, d), "grp"), f"SELECT run_id, grp, count(*) AS cnt FROM ({FINDINGS}) WHERE run_id % 9 <> 0 GROUP BY ALL"),
+    "trend_severities": (lambda s, d: history.trend_parts(runs(s, d), findings(s, d), "severity"), f"SELECT run_id, severity, count(*) AS cnt FROM ({FINDINGS}) WHERE run_id % 9 <> 0 GROUP BY ALL"),
     "run_counts": (lambda s, d: history.run_counts(findings(s, d)), f"SELECT run_id, grp, severity, count(*) AS cnt FROM ({FINDINGS}) GROUP BY ALL"),
     "run_trend": (
         lambda s, d: history.trend(runs(s, d), findings(s, d)),

@@ -78,10 +78,10 @@ QUERIES = {
     "impact": (lambda s, d: lineage.impact(crud(s, d), programs(s, d), links(s, d)), f"SELECT DISTINCT table_name, program_id, screen FROM ({CRUD}) JOIN ({PROGRAMS}) USING (program_id) LEFT JOIN ({LINKS}) USING (url)"),
     "programs_touching": (lambda s, d: lineage.touching(programs(s, d), crud(s, d), "Brand#12"), f"SELECT * FROM ({PROGRAMS}) WHERE program_id IN (SELECT program_id FROM ({CRUD}) WHERE table_name = 'Brand#12')"),
     "consistency": (
-        lambda s, d: lineage.consistency(crud(s, d).union(s.createDataFrame([(0, "TB_GHOST", "R")], "a long, b string, c string")), stock(s, d), F.col("table_name").endswith("brass")),
+        lambda s, d: lineage.consistency(crud(s, d).union(s.createDataFrame([(0, "TB_GHOST", "R")], "a long, b string, c string")), stock(s, d), F.col("table_name").endswith("brass"), F.col("table_name").startswith("promo")),
         f"""WITH c AS (SELECT DISTINCT upper(table_name) AS t FROM ({CRUD}) UNION SELECT 'TB_GHOST'), b AS (SELECT n, CASE WHEN max(p_size) > 40 THEN NULL ELSE 0 END AS r FROM (SELECT lower(p_brand) AS n, p_size FROM part UNION ALL SELECT lower(p_type), p_size FROM part) GROUP BY 1)
         SELECT t AS table_name, 'missing_in_db' AS side, 'none' AS reason FROM c WHERE t NOT IN (SELECT upper(n) FROM b)
-        UNION ALL SELECT upper(n), 'unused_in_code', CASE WHEN n LIKE '%brass' THEN 'scope' WHEN r = 0 THEN 'empty' ELSE 'none' END FROM b WHERE upper(n) NOT IN (SELECT t FROM c)""",
+        UNION ALL SELECT upper(n), 'unused_in_code', CASE WHEN n LIKE '%brass' THEN 'scope' WHEN n LIKE 'promo%' THEN 'schema' WHEN r = 0 THEN 'empty' ELSE 'none' END FROM b WHERE upper(n) NOT IN (SELECT t FROM c)""",
     ),
     "orphan_statements": (
         lambda s, d: lineage.orphan_statements(statements(s, d).distinct(), called(s, d), called_by_prefix(s, d)),

@@ -52,6 +52,12 @@ SQLS = [
     (24, "selection"),
 ]
 LINES = f"SELECT path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({CORPUS})"
+BLOCKS = f"""WITH l AS (SELECT path, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM ({CORPUS})),
+        w AS (SELECT path, CAST(i AS INTEGER) AS pos, array_to_string(l[i + 1:i + 3], chr(10)) AS b FROM l, range(0, 100000) t(i) WHERE i <= len(l) - 3),
+        f AS (SELECT b, min({{'p': path, 'a': pos}}) AS f FROM w GROUP BY 1 HAVING count(*) > 1),
+        h AS (SELECT path, pos, f.p AS of_path, f.a AS of_at FROM w JOIN f USING (b) WHERE path <> f.p),
+        k AS (SELECT *, of_at - pos AS line, pos - row_number() OVER (PARTITION BY path, of_path, of_at - pos ORDER BY pos) AS island FROM h)
+        SELECT path, min(pos) AS first_at, count(*) + 2 AS lines, of_path, min(of_at) AS of_at FROM k GROUP BY path, of_path, line, island"""
 RULE_SQL = [(r.id, r.group, r.severity, r.pattern.replace("'", "''")) for r in scan.RULES]
 EXCERPT = "left(trim(content, ' '), 160)"
 
@@ -104,14 +110,11 @@ QUERIES = {
         lambda s, d: scan.unused_markers(scan.line_rules(s.createDataFrame(MARKED, "path string, text string")), s.createDataFrame(MARKED, "path string, text string")),
         values([("a", 1, scan.UNUSED), ("e", 4, scan.UNUSED), ("e", 7, scan.UNUSED), ("f", 1, scan.UNUSED)], "path, line, rule"),
     ),
-    "duplicate_blocks": (
-        lambda s, d: duplicates.duplicate_blocks(corpus(s, d), 3),
-        f"""WITH l AS (SELECT path, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM ({CORPUS})),
-        w AS (SELECT path, CAST(i AS INTEGER) AS pos, array_to_string(l[i + 1:i + 3], chr(10)) AS b FROM l, range(0, 100000) t(i) WHERE i <= len(l) - 3),
-        f AS (SELECT b, min({{'p': path, 'a': pos}}) AS f FROM w GROUP BY 1 HAVING count(*) > 1),
-        h AS (SELECT path, pos, f.p AS of_path, f.a AS of_at FROM w JOIN f USING (b) WHERE path <> f.p),
-        k AS (SELECT *, of_at - pos AS line, pos - row_number() OVER (PARTITION BY path, of_path, of_at - pos ORDER BY pos) AS island FROM h)
-        SELECT path, min(pos) AS first_at, count(*) + 2 AS lines, of_path, min(of_at) AS of_at FROM k GROUP BY path, of_path, line, island""",
+    "duplicate_blocks": (lambda s, d: duplicates.duplicate_blocks(corpus(s, d), 3), BLOCKS),
+    "changed_blocks": (
+        lambda s, d: duplicates.reportable(duplicates.duplicate_blocks(corpus(s, d), 3), table(s, d, "documents").where("source < 'src3'").select(F.format_string("%08d", "doc_id").alias("path"))),
+        f"""WITH c AS (SELECT printf('%08d', doc_id) AS path FROM documents WHERE source < 'src3'), b AS ({BLOCKS})
+        SELECT path, first_at, lines, of_path, of_at FROM b WHERE path IN (FROM c) UNION ALL SELECT of_path, of_at, lines, path, first_at FROM b WHERE path NOT IN (FROM c) AND of_path IN (FROM c)""",
     ),
     "line_counts": (
         lambda s, d: corpus(s, d).select("path", line_count(F.col("text")).alias("lines"), digest12(F.col("text")).alias("digest")),

@@ -49,9 +49,10 @@ def path_filter(path: Column, include: list[str], exclude: list[str]) -> Column:
 
 
 def read_texts(spark: SparkSession, folder: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path, text, encoding, eol of every file of at most MOST_BYTES; the size is tested before content is read."""
+    """path, text, encoding, eol of every file. One of over MOST_BYTES has a null text and the encoding `too-large`: its content is never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.where((F.col("length") <= MOST_BYTES) & path_filter(F.col("path"), include or [], exclude or []))
+    files = files.where(path_filter(F.col("path"), include or [], exclude or []))
+    large = files.where(F.col("length") > MOST_BYTES).select("path", F.lit(None).cast("string").alias("text"), F.lit("too-large").alias("encoding"), F.lit(None).cast("string").alias("eol"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +60,8 @@ def read_texts(spark: SparkSession, folder: str, include: list[str] | None = Non
             columns = [pa.array([f[k] for f in found], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["path", "text", "encoding", "eol"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string, encoding string, eol string")
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "content")
+    return small.mapInArrow(run, "path string, text string, encoding string, eol string").union(large)
 
 
 def delimiter_of(text: str) -> str:
@@ -85,7 +87,7 @@ def column_at(header: list[str], names: list[str]) -> int:
 
 def read_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """path, row (from 0, the header's row being 0), cells of every CSV file under a folder."""
-    rows = read_texts(spark, folder, ["**/*.csv"])
+    rows = read_texts(spark, folder, ["**/*.csv"]).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
