@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.session import table
+from quarrylens.session import scratch, shared_dir, table
 
-__all__ = ["crc32_mod", "scratch", "shared_dir", "table", "text_groups"]
+__all__ = ["crc32_mod", "fresh", "scratch", "shared_dir", "table", "text_groups"]
 
-LOCAL_CHECKPOINTS = "/tmp/quarrylens-checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, with Spark's checkpoint folder set from it; a folder of our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(where or LOCAL_CHECKPOINTS)
-    return where or LOCAL_CHECKPOINTS
-
-
-def scratch(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or name.lower() + "_" in taken:
+        name += "_"
+    return name
 
 
 def crc32_mod(column: str, n: int):
