@@ -1,21 +1,23 @@
 """Operator 9, HTML extraction by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block element. A line's mass is its text length; lines in page
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) have none, and
-where the page marks its article, lines outside have none either. Masses are summed over sliding windows of WINDOW
-lines. A run begins where the sum surges (above SURGE, or above zero in a marked article) and ends where it dives
-to zero; all lines with mass in the runs are kept, short ones between long ones too. In a page without a marked
-article only runs whose text outweighs their links count, and those far lighter than the heaviest are dropped.
+Markup is stripped into lines, one for each block element; lines of page furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts, styles, as their markup says) are no lines. A line's mass is its text
+outside of links, none if that is less than half of it; where a page marks its article, lines outside have none, and
+those inside SURGE more. Masses are summed over sliding windows of WINDOW lines. The text surges where a window reaches
+SURGE (or LIGHT of the page's fullest window, if that is less), and dives where a whole window is empty. Kept are all
+lines from the dive before the first surge to the dive after the last one (of a marked article, its lines). The added
+mass makes every line of a marked article a surge, so there the marks decide and the windows only confirm them.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by an empty
 line. Results for odd input: null or empty html gives an empty text, as do pages without any article; broken markup
-is read as browsers do (open blocks end at the next); pages of any length are read whole; repeated rows and null
+is read as browsers do (open blocks end at the next) in linear time; pages of any length are read whole; repeated rows and null
 ids each give their row; an empty table gives an empty result. Columns beyond id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,43 +30,60 @@ from quarrylens.llm.common import table
 
 WINDOW = 3
 SURGE = 80
-#: A run with less than this share of the heaviest run's text is furniture that carries no mark.
+#: A page whose fullest window is small has its surges at this share of it.
 LIGHT = 0.25
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 FURNITURE = frozenset("nav footer aside form head script style noscript template svg math button select textarea title iframe object canvas dialog menu noembed noframes xmp".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promos?|promotion|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|"
-    r"nav(?:bar|igation)?|menus?|breadcrumbs?|toolbar|pagination|pager|sidebars?|side|rail|widgets?|related|recommended|share|sharing|social|"
-    r"footers?|foot|mastheads?|page-?header|site-?header|copyright|legal|disclaimer|comments?|commentlist|respond|replies|reply|disqus|discussion)(?=$|[-_\s\d])",
-    re.I,
+#: Names of furniture in class and id: as a whole token, or as a part of one between hyphens and underscores.
+FURNITURE_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos banner banners cookie cookies consent gdpr popup modal newsletter subscribe subscription signup "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs toolbar pagination pager sidebar sidebars widget widgets footer footers masthead comment comments commentlist disqus".split()
 )
+FURNITURE_TOKENS = FURNITURE_PARTS | frozenset(
+    "promotion notice notices alert alerts overlay login search side rail related recommended share sharing social foot header page-header pageheader site-header siteheader copyright legal disclaimer "
+    "respond reply replies discussion cookie-notice site-notice notice-bar alert-box related-posts related-articles share-buttons social-links social-share search-form login-form".split()
+)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[-_]?(?:body|content|text))?(?=$|\s)", re.I)
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _named_as_furniture(names: str) -> bool:
+    for token in names.lower().split():
+        token = token.rstrip("0123456789-_")
+        if token in FURNITURE_TOKENS or not FURNITURE_PARTS.isdisjoint(re.split("[-_]+", token)):
+            return True
+    return False
+
+
 def _kind(tag: str, attributes: str, in_article: bool) -> str:
     """What an element is: 'furniture', 'main' or ''."""
     if tag in FURNITURE or tag == "header" and not in_article:
         return "furniture"
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     role = found.get("role", "").lower()
-    if role in ROLES or "hidden" in attributes.lower().split() or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("aria-hidden") == "true":
+    if role in ROLES or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("aria-hidden") == "true":
+        return "furniture"
+    if attributes and HIDDEN.search(QUOTED.sub('""', attributes)):
         return "furniture"
     if tag == "article" or tag == "main" or role in ("main", "article"):
         return "main"
     for name in (found.get("class", ""), found.get("id", "")):
         if name and tag not in ("html", "body"):
-            if FURNITURE_NAMES.search(name):
+            if _named_as_furniture(name):
                 return "furniture"
             if MAIN_NAMES.search(name):
                 return "main"
@@ -78,6 +97,7 @@ def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     marked: list[int] = []
     linked: list[int] = []
     stack: list[tuple[str, str]] = []
+    is_open: Counter[str] = Counter()  # how often each tag is on the stack
     furniture = main = article = links = 0
     now: list[str] = []
     now_links = 0
@@ -96,6 +116,7 @@ def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Close the open elements from the k-th on."""
         nonlocal furniture, main, article, links
         for tag, kind in reversed(stack[k:]):
+            is_open[tag] -= 1
             furniture -= kind == "furniture"
             main -= kind == "main"
             article -= tag == "article"
@@ -109,9 +130,10 @@ def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
             now_links += len(s)
 
     at, n = 0, len(html)
+    last = html.rfind(">")
     while at < n:
         lt = html.find("<", at)
-        if lt < 0:
+        if lt < 0 or lt > last:
             text(html[at:])
             break
         if lt > at:
@@ -136,25 +158,25 @@ def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         if tag in BLOCKS:
             end_line()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                close(k)
+            if is_open[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
-        if tag in BLOCKS:  # an open paragraph ends at the next block
+        if tag in BLOCKS and is_open["p"]:  # an open paragraph ends at the next block
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in BLOCKS), -1)
             if k >= 0 and stack[k][0] == "p":
                 close(k)
-        if tag in SELF_CLOSING:
+        if tag in SELF_CLOSING and any(is_open[t] for t in SELF_CLOSING[tag]):
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in SELF_CLOSING[tag] or stack[k][0] in ("ul", "ol", "dl", "table", "select")), -1)
             if k >= 0 and stack[k][0] in SELF_CLOSING[tag]:
                 close(k)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+        if tag in VOID or tag not in BLOCKS and SELF_CLOSED.search(attributes):
             continue
         kind = _kind(tag, attributes, article > 0)
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             at = n if end is None else end.start()
         stack.append((tag, kind))
+        is_open[tag] += 1
         furniture += kind == "furniture"
         main += kind == "main"
         article += tag == "article"
@@ -163,32 +185,36 @@ def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     return lines, np.array(skipped, bool), np.array(marked, np.int64), np.array(linked, np.int64)
 
 
+def window_sums(mass: np.ndarray) -> np.ndarray:
+    """The sum of the window that begins at each line."""
+    total = np.concatenate([[0], np.cumsum(mass), np.full(WINDOW - 1, mass.sum())])
+    return total[WINDOW:] - total[: len(mass)]
+
+
 def main_text(html: str | None) -> str:
     lines, skipped, marked, linked = strip(html or "")
+    lines = [line for line, furniture in zip(lines, skipped.tolist()) if not furniture]
     if not lines:
         return ""
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    has_article = bool((marked[~skipped] > 0).any())
-    mass = np.where(skipped | (has_article & (marked == 0)), 0, length)
-    reach = np.convolve(mass, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # the window that begins at each line
-    kept = np.zeros(len(lines), bool)
-    runs = []
-    i = 0
-    while i < len(lines):
-        if mass[i] and (has_article or reach[i] >= SURGE):  # surge
-            j = i
-            while j < len(lines) and reach[j]:  # dive: a whole window without text
-                j += 1
-            inside = np.arange(i, j)
-            if has_article or 2 * linked[i:j].sum() < mass[i:j].sum():
-                runs.append((int(mass[i:j].sum()), inside[mass[i:j] > 0]))
-            i = j
-        i += 1
-    heaviest = max((w for w, _ in runs), default=0)
-    for weight, inside in runs:
-        if has_article or weight >= LIGHT * heaviest:
-            kept[inside] = True
-    return "\n\n".join(line for line, k in zip(lines, kept.tolist()) if k)
+    length, kept, linked = np.fromiter(map(len, lines), np.int64, len(lines)), marked[~skipped] > 0, linked[~skipped]
+    if kept.any():
+        mass = np.where(kept, length + SURGE, 0)
+    else:
+        kept = np.ones(len(lines), bool)
+        mass = np.where(2 * linked <= length, length - linked, 0)
+    reach = window_sums(mass)
+    surges = np.flatnonzero((mass > 0) & (reach >= max(1, min(SURGE, LIGHT * reach.max()))))
+    if not len(surges):
+        return ""
+    dives = np.flatnonzero(reach == 0)  # the first line of an empty window
+    before, after = dives[dives < surges[0]], dives[dives > surges[-1]]
+    first = before[-1] + 1 if len(before) else 0
+    end = after[0] if len(after) else len(lines)
+    while mass[first] == 0:  # not the links at the edges
+        first += 1
+    while mass[end - 1] == 0:
+        end -= 1
+    return "\n\n".join(line for line, k in zip(lines[first:end], kept[first:end].tolist()) if k)
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
