@@ -13,21 +13,22 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import scratch
 
 
-def _star(edges: DataFrame, node: str, other: str) -> tuple[DataFrame, DataFrame]:
-    least = edges.groupBy(node).agg(F.min(other).alias("least"))
-    return edges, least.withColumn("least", F.least(node, "least"))
+def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """Each node with `least`, the least of it and its neighbours. It is a written table, so that both sides of the join
+    with the edges are plain shuffles, and Spark's adaptive skew join splits a node of many links."""
+    least = edges.groupBy(node).agg(F.min(other).alias("least")).withColumn("least", F.least(node, "least"))
+    return scratch(edges.sparkSession, least, "least")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links, least = _star(both, "a", "b")
-    return links.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return both.join(_least(both, "a", "b"), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links, least = _star(down, "a", "b")
-    moved = links.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = _least(down, "a", "b")
+    moved = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
 
 
