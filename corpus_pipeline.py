@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir). The first four return rows of docs with their columns; the last returns
 every remaining document with its SentencePiece ids. SQL cannot express the trained stages, so ORACLE_SQL is None
 and tests hold the stages against brute-force versions.
+
+Odd input: null, empty and blank texts have no letter, so the language stage rejects them unless the quality stage has;
+without labels of both kinds, the quality stage keeps all, without any language, the language stage keeps none; null
+ids are kept like others, and of equal texts the least id stays, a null one only if there is no other; repeated rows
+leave one; empty tables give an empty result; further columns go through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of SimHash near-duplicates on shingles of five words, at 6 differing bits or fewer of 64 (an estimated similarity of over 0.9 for equal lengths)."""
-    return simhash.one_of_each(docs, shingle=5, budget=6)
+    """Keeps one document of each class of near-duplicates: texts with a similarity of 0.8 or more on shingles of five words, as estimated by SimHash."""
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
