@@ -13,8 +13,8 @@ item, or if mostly literal windows match that are as many, or all that the item
 
 Searching takes every window of a document, of WINDOW words and of the lengths of shorter items, against all windows
 of the items; only the texts hit are aligned window by window. Texts are keyed by their digest, so any number of
-copies is aligned once. The windows of the benchmark and the digests of hit texts are broadcast only if they count
-BROADCAST_ROWS rows at most; beyond that, the same joins are shuffled.
+copies is aligned once. The windows of the benchmark and the digests of hit texts are broadcast only if they take
+BROADCAST_BYTES at most; beyond that, the same joins are shuffled.
 
 Results for odd input: null and empty texts match nothing, as do null and empty items; null ids are carried along;
 repeated rows each give their rows, repeated item ids count as one item with the windows of all; empty tables give
@@ -26,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import scratch, table
+from quarrylens.llm.common import fresh, scratch, table
 
 WINDOW = 8
 RUN = 13
-BROADCAST_ROWS = 1 << 20
+BROADCAST_BYTES = 1 << 26
 NAME, NUMBER, UNIT = "‹name›", "‹num›", "‹unit›"
 #: Fixed list of units.
 UNITS = (
@@ -82,9 +82,9 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def within_bound(df: DataFrame) -> DataFrame:
-    """df to be broadcast, if it has BROADCAST_ROWS rows at most. df is a written table, so counting is cheap."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def within_bound(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df to be broadcast, if its rows of about row_bytes bytes keep within BROADCAST_BYTES. df is a written table, so counting is cheap."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def placed_windows(rows: DataFrame, keys: list[str], text: str, lengths: list[int] | None = None) -> DataFrame:
@@ -157,7 +157,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text_col: str = "text"
 
     own = placed_windows(found, ["digest"], "t", lengths).select("digest", "place", "plain", "templated", "h", "words")
     theirs = bench.select("item", "copy", F.col("place").alias("item_place"), "literal", "h", F.col("words").alias("item_words"), F.col("plain").alias("item_plain"))
-    met = own.join(within_bound(theirs), "h").where(F.col("words") == F.col("item_words"))
+    met = own.join(within_bound(theirs, 1024), "h").where(F.col("words") == F.col("item_words"))
     slots = F.filter(F.zip_with("words", F.arrays_zip(F.col("item_plain").alias("i"), F.col("plain").alias("d")), lambda w, p: F.when(w.contains("‹"), p)), lambda x: x.isNotNull())
     met = met.select("digest", "item", "copy", "item_place", "literal", "templated", (F.col("place") - F.col("item_place")).alias("line"), F.when(F.col("templated"), slots).alias("slots"))
     met = scratch(spark, met, "met-windows")
@@ -181,9 +181,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with all their columns; rows of null text stay."""
-    matches = contaminated_texts(docs, items, text_col).select(F.col("digest").alias("digest__")).distinct()
+    own = fresh(docs, "digest")
+    matches = contaminated_texts(docs, items, text_col).select(F.col("digest").alias(own)).distinct()
     matches = scratch(docs.sparkSession, matches, "contaminated")
-    return docs.join(within_bound(matches), F.md5(docs[text_col]) == F.col("digest__"), "left_anti")
+    return docs.join(within_bound(matches), F.md5(text_col) == F.col(own), "left_anti")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

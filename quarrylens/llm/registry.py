@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import embedding_dedup
+from quarrylens.llm import embedding_dedup, language_id, url_filters
 from quarrylens.llm.decontamination import op8_decontamination
 from quarrylens.llm.embedding_dedup import op7_embedding_dedup
 from quarrylens.llm.html_extraction import op9_html_extraction
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embedding_dedup": embedding_dedup.ORACLE_SQL}
+    return {"op1_url_filters": url_filters.ORACLE_SQL, "op7_embedding_dedup": embedding_dedup.ORACLE_SQL, "op10_language_id": language_id.ORACLE_SQL}

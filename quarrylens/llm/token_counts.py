@@ -17,6 +17,7 @@ Columns beyond the id and the text are not read, so their names cannot clash.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,12 +162,19 @@ class BpeMachine:
         return to, emitted
 
     def count(self, text: bytes) -> int:
-        if len(self.configs) > STATES:
-            self.reset()
         state = total = 0
         for b in text:
             found = self.next[state].get(b)
-            state, n = found if found is not None else self.step(state, b)
+            if found is None:
+                if len(self.configs) > STATES:  # start the table anew from where this text stands
+                    here = self.configs[state]
+                    self.reset()
+                    state = self.ids.setdefault(here, len(self.configs))
+                    if state == len(self.configs):
+                        self.configs.append(here)
+                        self.next.append({})
+                found = self.step(state, b)
+            state, n = found
             total += n
         return total
 
@@ -190,16 +198,16 @@ def pieces_of(texts: list[str], classes: np.ndarray, special: list[str]) -> tupl
     """split_texts, a special token's string in a text being a piece of its own."""
     if not any(s in t for s in special for t in texts):
         return split_texts(texts, classes)
+    any_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
     parts, after, per_text = [], [], []
     for t in texts:
-        before = len(parts)
-        while True:
-            at, s = min(((i, s) for s in special if (i := t.find(s)) >= 0), key=lambda x: (x[0], -len(x[1])), default=(-1, ""))
-            parts.append(t[:at] if s else t)
-            after.append(special.index(s) if s else -1)
-            if not s:
-                break
-            t = t[at + len(s) :]
+        before, at = len(parts), 0
+        for found in any_special.finditer(t):
+            parts.append(t[at : found.start()])
+            after.append(special.index(found[0]))
+            at = found.end()
+        parts.append(t[at:])
+        after.append(-1)
         per_text.append(len(parts) - before)
     distinct, index, per_part = split_texts(parts, classes)
     marks = np.array(after)

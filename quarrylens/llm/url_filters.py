@@ -6,8 +6,10 @@ signs: contexts of up to ORDER signs, each order smoothed with the next lower on
 url's score is the sum of log P(accepted) - log P(rejected) over its signs, divided by their number; it is allowed
 from the threshold on that lies equally many standard deviations from the mean scores of both kinds of examples.
 
-Counting and scoring work on distinct urls with their multiplicity, so a url or host of any frequency is no hot
-key. The table of n-grams has SYMBOLS ** (ORDER + 1) rows at most (about 1.3 million, two numbers each), however
+Counting and scoring work on distinct urls with their multiplicity. What is scored is host and path, as in the rules:
+query strings and fragments hold identifiers and tracking codes, about which the examples of one crawl say little of
+the next; so urls that differ only there get one verdict. Scores are joined back to rows by the folded url in a plain
+shuffled join, so a url of many rows is split by Spark's adaptive skew join. The table of n-grams has SYMBOLS ** (ORDER + 1) rows at most (about 1.3 million, two numbers each), however
 large the input: that is the proven bound of the only broadcast.
 
 Results for odd input: null, empty and malformed urls have empty host and path, no rule, and the score of the empty
@@ -112,3 +114,38 @@ def calibrate(scored: DataFrame) -> float:
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
+
+
+def _oracle_sql() -> str:
+    """The same query for an engine that runs on one machine: rules, n-gram counts of all orders, smoothing, calibration."""
+    up, low = string.ascii_uppercase, string.ascii_lowercase
+    parts = lambda k: rf"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {k}), '')"
+    fits = lambda h, p: f"((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}'))"
+    ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    chain = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in ranked) + " END"
+    ctes = [
+        f"h AS (SELECT page_id, translate({parts(1)}, '{up}', '{low}') AS host, {parts(2)} AS path FROM pages)",
+        f"u AS (SELECT *, {chain(lambda v, h, p: h + p)} AS rule, {chain(lambda v, h, p: v)} AS by_rule, regexp_replace(translate(host || path, '{up}{string.digits}', '{low}{'0' * 10}'), '[^a-z0./_-]', '~', 'g') AS t FROM h)",
+        "x AS (SELECT t, count(*) FILTER (WHERE by_rule = 'allow') AS a, count(*) FILTER (WHERE by_rule = 'block') AS r FROM u GROUP BY t)",
+        f"s AS (SELECT t, a, r, unnest(list_transform(range(1, len(t) + 2), lambda i: substr('{'^' * ORDER}' || t || '$', i, {ORDER + 1}))) AS g FROM x)",
+        "c AS (SELECT g, sum(a) AS a, sum(r) AS r FROM s GROUP BY g)",
+        f"p0 AS (SELECT g, 1.0::DOUBLE / {SYMBOLS} AS pa, 1.0::DOUBLE / {SYMBOLS} AS pr FROM c)",
+    ]
+    for k in range(ORDER + 1):
+        tail, context = f"substr(g, {ORDER + 1 - k}, {k + 1})", f"substr(g, {ORDER + 1 - k}, {k})"
+        mixed = lambda x: f"CASE WHEN n{x} > 0 THEN (c{x} + t{x} * p{x}) / (n{x} + t{x}) ELSE p{x} END AS p{x}"
+        ctes += [
+            f"tail{k} AS (SELECT {tail} AS tail, sum(a)::DOUBLE AS ca, sum(r)::DOUBLE AS cr FROM c GROUP BY 1)",
+            f"context{k} AS (SELECT substr(tail, 1, {k}) AS context, sum(ca) AS na, sum(cr) AS nr, (count(*) FILTER (WHERE ca > 0))::DOUBLE AS ta, (count(*) FILTER (WHERE cr > 0))::DOUBLE AS tr FROM tail{k} GROUP BY 1)",
+            f"p{k + 1} AS (SELECT g, {mixed('a')}, {mixed('r')} FROM p{k} JOIN tail{k} ON tail = {tail} JOIN context{k} ON context = {context})",
+        ]
+    stats = ", ".join(f"sum({x} * score) / nullif(sum({x}), 0) AS m{x}, sqrt(greatest(sum({x} * score * score) / nullif(sum({x}), 0) - (sum({x} * score) / nullif(sum({x}), 0)) ** 2, 1e-12)) AS d{x}" for x in "ar")
+    ctes += [
+        "two AS (SELECT sum(a) > 0 AND sum(r) > 0 AS two FROM c)",
+        f"z AS (SELECT t, any_value(a) AS a, any_value(r) AS r, avg(CASE WHEN two THEN ln(pa) - ln(pr) ELSE 0 END) AS score FROM s JOIN p{ORDER + 1} USING (g), two GROUP BY t)",
+        f"k AS (SELECT coalesce((ma * dr + mr * da) / (da + dr), 0) AS least FROM (SELECT {stats} FROM z))",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score FROM u JOIN z USING (t), k"
+
+
+ORACLE_SQL = _oracle_sql()
