@@ -4,10 +4,12 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylens.llm import components, decontamination, embedding_dedup, html_extraction, language_id, pretokenizer, quality, registry, sentencepiece_wfst, simhash, token_counts, token_ids, url_filters
@@ -131,6 +133,21 @@ def test_sentencepiece_is_the_librarys(spark, docs):
         assert machine.decode(ids) == lib.decode(ids)
 
 
+def test_shortest_path_of_weights():
+    """The relaxation over the tropical semiring against all ways to cut a text, with the scores of the file as weights."""
+    model = sentencepiece_wfst.Model(sentencepiece_wfst.default_model())
+    model.bpe = False
+    machine = sentencepiece_wfst.Transducer(model)
+    rnd = random.Random(5)
+    for _ in range(200):
+        text = "".join(rnd.choice(["the", "ing", "an", "s", "e", "er", "▁"]) for _ in range(rnd.randrange(1, 5)))[:9]
+        ways = [[]]
+        for i in range(1, len(text) + 1):
+            ways.append([[*w, model.pieces[text[j:i]]] for j in range(i) if text[j:i] in model.pieces for w in (ways[j] or ([[]] if j == 0 else []))])
+        weight = lambda ids: -sum(model.scores[i] for i in ids)
+        assert weight(machine.shortest_path(text)) == pytest.approx(min(map(weight, ways[-1])))
+
+
 def test_sentencepiece_odd(spark, odd):
     rows = sentencepiece_wfst.with_pieces(odd.withColumnRenamed("score", "ids"), sentencepiece_wfst.default_model()).collect()
     assert len(rows) == len(ODD) and {r.n_pieces for r in rows if r.doc_id in (2, 3)} == {0}
@@ -156,6 +173,11 @@ def classes_of(values, budget):
     return simhash.merge(np.arange(len(values)), *np.where(np.bitwise_count(values[:, None] ^ values[None, :]) <= budget))
 
 
+def wide_classes_of(codes, budget, whole_budget):
+    bits = np.bitwise_count(codes[:, None, :] ^ codes[None, :, :]).astype(int)
+    return simhash.merge(np.arange(len(codes)), *np.where((bits[:, :, 0] <= budget) & (bits.sum(axis=2) <= whole_budget)))
+
+
 def test_simhash_classes(spark, docs, odd):
     ids = sorted(docs)
     prints = [brute_fingerprint(docs[i]) for i in ids]
@@ -189,6 +211,61 @@ def test_forest_finds_every_link(spark, monkeypatch, budget, hot):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("crowd", [1 << 15, 300])
+def test_wide_forest_finds_every_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "DENSE", (64, 1 << 12))
+    rng = np.random.default_rng(2)
+    codes = [rng.integers(0, 2**64, 4, dtype=np.uint64) for _ in range(200)]
+    for base in list(codes[:3]):
+        for _ in range(400):
+            flips = np.packbits(rng.random(256) < rng.choice([0.03, 0.1, 0.2]), bitorder="little").view(np.uint64)
+            codes.append(base ^ flips)
+    codes = np.unique(np.stack(codes), axis=0)
+    nodes = spark.createDataFrame([tuple(map(int, c)) for c in codes.view(np.int64)], "fp long, w1 long, w2 long, w3 long")
+    name = lambda c: tuple(map(int, c))
+    root = {name(c): name(c) for c in codes.view(np.int64)}
+    root |= {name(r.a): name(r.b) for r in components.components(simhash.forest_links(nodes, 11, 4, 44)).collect()}
+    want, got = collections.defaultdict(set), collections.defaultdict(set)
+    for c, label in zip(codes.view(np.int64), wide_classes_of(codes, 11, 44).tolist()):
+        want[label].add(name(c))
+        got[root[name(c)]].add(name(c))
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values())) and 3 < len(want) < len(codes)
+
+
+def near_copies(rng, similarity, n_words=200):
+    """A text and a copy with words replaced one by one until the 5-word shingles' similarity is just above the one given."""
+    words = [f"w{x}" for x in rng.integers(0, 5000, n_words)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    copy, own = list(words), shingles(words)
+    for place in rng.permutation(n_words):
+        changed = list(copy)
+        changed[place] = "other" + str(place)
+        theirs = shingles(changed)
+        if len(own & theirs) / len(own | theirs) < similarity:
+            break
+        copy = changed
+    return " ".join(words), " ".join(copy)
+
+
+@pytest.mark.parametrize("similarity,recall", [(0.95, 1.0), (0.9, 0.98), (0.85, 0.95), (0.8, 0.84)])
+def test_recall_of_near_copies(similarity, recall):
+    """Pairs of just that similarity, and pairs far from it: the figures that the README gives."""
+    rng = np.random.default_rng(4)
+    found = []
+    for _ in range(300):
+        a, b = (simhash.fingerprint(t, 5, simhash.WORDS) for t in near_copies(rng, similarity))
+        bits = np.bitwise_count(a ^ b).astype(int)
+        found.append(bits[0] <= 13 and bits.sum() <= simhash.allowed_bits(0.8, 256))
+    print(similarity, np.mean(found))
+    assert np.mean(found) >= recall
+    far = []
+    for _ in range(200):
+        a, b = (simhash.fingerprint(t, 5, simhash.WORDS) for t in near_copies(rng, 0.5))
+        far.append(np.bitwise_count(a ^ b).sum() <= simhash.allowed_bits(0.8, 256))
+    assert not any(far)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     assert {r.a: r.b for r in components.components(links).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
@@ -306,6 +383,8 @@ def test_decontamination_slots(spark, odd):
     got = {(r.doc_id, r.item_id, r.reparameterised) for r in decontamination.contaminated(df, bench).collect()}
     assert got == {(0, 1, False), (6, 1, False), (1, 1, True), (7, 1, True), (3, 2, False), (9, 2, False)}
     assert sorted(r.doc_id for r in decontamination.without_contaminated(df, bench).collect()) == [2, 4, 5, 8, 10, 11]
+    clash = decontamination.without_contaminated(df.withColumnsRenamed({"digest": "h"}).select("*", F.lit(1).alias("digest"), F.lit(2).alias("item")), bench)
+    assert clash.columns == ["doc_id", "text", "h", "digest", "item"] and clash.count() == 6
     assert decontamination.contaminated(df.limit(0), bench).count() == 0 and decontamination.contaminated(odd, bench.limit(0)).count() == 0
     torn = spark.createDataFrame([(1, "then Ann has 5 apples and Bob has 5 apples, but they also say Cid has 9 apples here")], "doc_id long, text string")
     same = spark.createDataFrame([(9, "then Ann has 5 apples and Ann has 5 apples, but they also say Ann has 5 apples here")], "item_id long, text string")
@@ -346,12 +425,52 @@ def test_main_text():
     page = '<body><header><p>Site</p></header><nav><ul><li><a href="/">Menu</a></ul></nav><div class="sidebar">x</div><article><h1>T &amp; x</h1><div class="cookie-notice">n</div><p>Hello<br>wor<b>ld</b>\n 1 &lt; 2<p>second<script>var t="</p>";</script><form><p>f</p></form><aside>q</aside><section class="comments"><p>c</p></section></article><!-- a --><div id="comments">z</div><footer>&copy; x</footer></body>'
     assert f(page) == "T & x\n\nHello world 1 < 2\n\nsecond"
     assert f(None) == f("") == f("<html></html>") == ""
-    plain = "<div><a href=x>home</a></div><div><p>" + "word " * 60 + "</p><p>short.</p></div><footer>end</footer>"
-    assert f(plain).endswith("short.") and "home" not in f(plain).split("\n\n")[-2] and "end" not in f(plain)
     assert f("<article>" + "<p>x" * 20000 + "</article>").count("x") == 20000
     assert f("<article>a < b <p unclosed='") .startswith("a < b")
 
 
+LONG = "This paragraph has many words, and they stand there so that it is long enough to be seen as text of the page."
+#: Pages with their main text, written by hand.
+TRUTH = [
+    # no mark of an article: title and byline before, short paragraphs between and after
+    (f"<body><div><a href=/>Home</a></div><div><a href=/n>News</a> <a href=/s>Sport</a></div><div><h1>A title</h1><div>By A. B.</div><div>3 May</div><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>The end.</p></div><div class=footer>Imprint</div></body>",
+     ["A title", "By A. B.", "3 May", LONG, "Short.", LONG, "The end."]),
+    # furniture by name, tag, role and the hidden attribute between the paragraphs
+    (f"<div><p>{LONG}</p><div class='ad-slot big'>Buy</div><div class=sidebar>s</div><aside>q</aside><div role=banner>b</div><div hidden>h</div><p>Then a short end.</p></div>", [LONG, "Then a short end."]),
+    # names that only resemble furniture
+    (f"<div class='side-by-side hidden-gem'><p title='now hidden here'>{LONG}</p></div><section class='discussion-of-results'><p>{LONG}</p></section>", [LONG, LONG]),
+    # an article of a few signs
+    ("<div><p>Hi there.</p></div>", ["Hi there."]),
+    ("<nav>x</nav><article><p>Hi.</p></article><div><p>" + LONG + "</p></div>", ["Hi."]),
+    # links only
+    ("<ul><li><a href=/a>a</a><li><a href=/b>b</a></ul>", []),
+    # a list of links between the paragraphs belongs to the text; one after the last does not
+    (f"<p>{LONG}</p><ul><li><a href=/a>a link</a></ul><p>{LONG}</p><div><a href=/x>next</a></div>", [LONG, "a link", LONG]),
+    # far from the text, after an empty window, and light
+    (f"<article><p>{LONG}</p><aside>1</aside><aside>2</aside><aside>3</aside><aside>4</aside><p>End.</p></article>", [LONG, "End."]),
+    (f"<div>tiny</div><ul>{'<li><a href=/m>menu</a>' * 4}</ul><p>{LONG}</p><ul>{'<li><a href=/m>menu</a>' * 4}</ul><div>tiny</div>", [LONG]),
+]
+
+
+@pytest.mark.parametrize("html,want", TRUTH)
+def test_main_text_by_hand(html, want):
+    assert html_extraction.main_text(html) == "\n\n".join(want)
+
+
+def test_windows_decide(monkeypatch):
+    """Without window sums (all windows alike) the light text far from the article would stay."""
+    html, want = TRUTH[-1]
+    monkeypatch.setattr(html_extraction, "window_sums", lambda mass: np.full(len(mass), 1000))
+    assert html_extraction.main_text(html) != "\n\n".join(want)
+
+
+@pytest.mark.parametrize("broken", ["<a '", '<a "', "<b></i>", "<b>", "<b><hr>", "</p>", "<p><b>", "<td>", "<!--", "<div", "<textarea>", "<li><b>", "&lt;<"])
+def test_broken_markup_takes_linear_time(broken):
+    began = time.process_time()
+    html_extraction.main_text(broken * (1_000_000 // len(broken)))
+    assert time.process_time() - began < 8
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "c"), (None, None, "<article><p>x</p></article>", "c"), (1, "u", None, "c")], "page_id long, url string, html string, text string")
     rows = sorted(map(tuple, html_extraction.extract_text(pages).collect()), key=str)
@@ -371,15 +490,64 @@ def test_language_on_held_out(spark):
     assert np.mean([r.rejected for r in rows]) < 0.02
 
 
-def test_kneser_ney_by_definition():
-    words = ["abc", "abd", "ab", "bca", "abc", "cab", "a"]
-    grams, _ = language_id.grams_of(words)
-    keys, counts = np.unique(grams, return_counts=True)
-    model = language_id.Model(keys, counts, 5)
-    for context in np.unique(keys >> np.uint64(16)):
-        signs = np.array([ord(c) for c in "abcd"] + [language_id.END], np.uint64)
-        p = np.exp(model.log_p((context << np.uint64(16)) | signs))
-        assert p.sum() == pytest.approx(1, abs=1e-9) and (p > 0).all()
+def brute_kneser_ney(words, vocabulary):
+    """(gram of ORDER signs) -> probability, straight from the definition."""
+    counts = {language_id.ORDER: collections.Counter()}
+    for w in words:
+        padded = "\2" * (language_id.ORDER - 1) + w + "\3"
+        counts[language_id.ORDER].update(padded[i : i + language_id.ORDER] for i in range(len(w) + 1))
+    for k in range(language_id.ORDER - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / vocabulary
+        lower, c = p(gram[1:]), counts[k]
+        after = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return lower
+        once, twice = (sum(n == x for n in c.values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        return (max(c[gram] - d, 0) + d * len(after) * lower) / sum(after)
+
+    return p
+
+
+WORDS = ["abc", "abd", "ab", "bca", "abc", "cab", "a", "\U00010400\U00010401", "\U00020000b", "ab\U0001f0ff"]
+
+
+def test_kneser_ney_by_brute_force():
+    vocabulary = len({c for w in WORDS for c in w}) + 1
+    p = brute_kneser_ney(WORDS, vocabulary)
+    grams, _ = language_id.grams_of(WORDS)
+    spelt = language_id.spelt(grams)
+    assert (language_id.unspelt(spelt) == grams).all()
+    seen = collections.Counter(spelt)
+    model = language_id.Model(language_id.unspelt(list(seen)), np.array(list(seen.values())), vocabulary)
+    asked, _ = language_id.grams_of([*WORDS, "zz", "bb", "abz", "ca", "\U00010401"])
+    assert np.exp(model.log_p(asked)).tolist() == pytest.approx([p(g) for g in language_id.spelt(asked)], abs=1e-12)
+    for context in {g[:-1] for g in spelt}:
+        assert sum(p(context + c) for c in {g[-1] for g in spelt}) == pytest.approx(1, abs=1e-9)
+
+
+def language_rows(frame):
+    return sorted((str(r.doc_id), r.lang_pred, round(r.score, 6), r.rejected) for r in frame.collect())
+
+
+def test_language_same_by_tables(spark, odd, monkeypatch):
+    """The way for models that are too large to broadcast gives the same rows."""
+    docs = table(spark, DATA, "documents").select("doc_id", "text", "lang").where("doc_id % 9 < 2").union(odd.select("doc_id", "text", "lang"))
+    model = language_id.train(docs)
+    want = language_rows(language_id.identify_languages(docs, model))
+    kept = sorted(map(str, language_id.keep_identified(docs, model).collect()))
+    monkeypatch.setattr(language_id, "BROADCAST_GRAMS", 0)
+    tables = language_id.train(docs)
+    assert isinstance(model, language_id.Identifier) and isinstance(tables, language_id.TableIdentifier)
+    assert tables.langs == model.langs and [tables.limit[x] for x in model.langs] == pytest.approx(model.limit) and [tables.spread[x] for x in model.langs] == pytest.approx(model.spread)
+    assert language_rows(language_id.identify_languages(docs, tables)) == want
+    assert sorted(map(str, language_id.keep_identified(docs, tables).collect())) == kept
+    assert language_id.identify_languages(docs.limit(0), tables).count() == 0
 
 
 def test_language_odd(spark, odd):
@@ -412,7 +580,9 @@ def test_pipeline_by_brute_force(spark):
             assert {r.doc_id for r in x} == set(after)
         if name == "simhash":
             ids = sorted(before)
-            labels = classes_of([brute_fingerprint(before[i].text, 5) for i in ids], 6)
+            codes = np.stack([simhash.fingerprint(before[i].text, 5, simhash.WORDS) for i in ids])
+            assert codes[:, 0].tolist() == [brute_fingerprint(before[i].text, 5) for i in ids]
+            labels = wide_classes_of(codes, 13, simhash.allowed_bits(0.8, 64 * simhash.WORDS))
             assert set(after) == {ids[c] for c in labels}
         if name == "decontamination":
             x = decontamination.contaminated(docs, table(spark, DATA, "benchmark")).collect()
@@ -425,10 +595,45 @@ def test_pipeline_by_brute_force(spark):
         docs = out
 
 
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Nulls, ties, repeated rows, long texts and clashing names through every stage; and empty tables."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, None), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "wort wort wort wort wort wort wort wort wort wort wort wort wort"), (None, None)], "item_id long, text string")
+    for name, docs in (("odd", odd.select("*", F.lit("z").alias("digest"), F.lit(0).alias("rejected"))), ("none", odd.limit(0))):
+        folder = tmp_path / name
+        for table_name, df in (("documents", docs), ("labels", labels if name == "odd" else labels.limit(0)), ("benchmark", bench if name == "odd" else bench.limit(0))):
+            df.write.parquet(str(folder / f"{table_name}.parquet"))
+        kept = docs
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = scratch(spark, stage(spark, kept, str(folder)), stage_name)
+            assert kept.columns == docs.columns
+        rows = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(rows) == kept.count() and all(r.doc_id in (1, 6, None) for r in rows)
+
+
 def test_one_of_each_keeps_one(spark, odd):
     kept = simhash.one_of_each(odd).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 5, 6, None]
+    clash = odd.select("*", *(F.lit(1).alias(c) for c in ("kept_id", "kept_digest", "kept_copies", "code", "digest", "least")))
+    kept = simhash.one_of_each(clash)
+    assert kept.columns == clash.columns and kept.count() == 5
+    assert simhash.one_of_each(clash.limit(0)).count() == 0
 
 
 def test_registry():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracle(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        duck.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    ran = duck.execute(registry.oracle_sql()[name])
+    names = sorted(c[0] for c in ran.description)
+    want = sorted(str([row[k] for k in np.argsort([c[0] for c in ran.description])]) for row in ran.fetchall())
+    df = registry.queries()[name](spark, DATA)
+    assert sorted(df.columns) == names
+    assert sorted(str([r[c] for c in names]) for r in df.collect()) == want
