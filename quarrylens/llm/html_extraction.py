@@ -52,8 +52,10 @@ FURNITURE_PARTS = frozenset(
 )
 FURNITURE_TOKENS = FURNITURE_PARTS | frozenset(
     "promotion notice notices alert alerts overlay login search side rail related recommended share sharing social foot header page-header pageheader site-header siteheader copyright legal disclaimer "
-    "respond reply replies discussion cookie-notice site-notice notice-bar alert-box related-posts related-articles share-buttons social-links social-share search-form login-form".split()
+    "respond reply replies discussion site-notice social-share".split()
 )
+#: What may follow such a name in a token.
+HOLDERS = frozenset("area bar block box button buttons container form icons inner item items link links list panel posts articles stories top bottom left right wrap wrapper".split())
 QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -64,7 +66,8 @@ SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 def _named_as_furniture(names: str) -> bool:
     for token in names.lower().split():
         token = token.rstrip("0123456789-_")
-        if token in FURNITURE_TOKENS or not FURNITURE_PARTS.isdisjoint(re.split("[-_]+", token)):
+        first, *more = re.split("[-_]+", token)
+        if token in FURNITURE_TOKENS or not FURNITURE_PARTS.isdisjoint([first, *more]) or first in FURNITURE_TOKENS and HOLDERS.issuperset(more):
             return True
     return False
 

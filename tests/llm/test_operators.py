@@ -107,6 +107,23 @@ def test_quality_on_held_out(spark):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
+def test_quality_fit_is_the_optimum():
+    """The fitted weights against the definition: no step in any direction lessens the loss of the drawn pairs."""
+    rng = np.random.default_rng(3)
+    x, good = rng.normal(size=(400, 6)), np.arange(400) % 2 == 0
+    x[good, 0] += 1.0
+    ranker = quality.Ranker(x, good)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    draw = np.random.default_rng(42)
+    a, b = draw.choice(np.flatnonzero(good), quality.PAIRS), draw.choice(np.flatnonzero(~good), quality.PAIRS)
+    loss = lambda w: np.logaddexp(0, -(z[a] - z[b]) @ w).sum() + quality.RIDGE * (w @ w) / 2
+    for step in (1e-2, 1e-3):
+        assert all(loss(ranker.w) < loss(ranker.w + step * s * e) for e in np.eye(6) for s in (1, -1))
+    scores = ranker.score(x)
+    share = np.mean(scores >= quality.CUT)
+    assert share == pytest.approx(good.mean(), abs=0.01) and ((scores >= quality.CUT) == (z @ ranker.w >= ranker.threshold)).mean() > 0.995
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     ranker = quality.train(odd, labels)
@@ -439,6 +456,7 @@ TRUTH = [
     (f"<div><p>{LONG}</p><div class='ad-slot big'>Buy</div><div class=sidebar>s</div><aside>q</aside><div role=banner>b</div><div hidden>h</div><p>Then a short end.</p></div>", [LONG, "Then a short end."]),
     # names that only resemble furniture
     (f"<div class='side-by-side hidden-gem'><p title='now hidden here'>{LONG}</p></div><section class='discussion-of-results'><p>{LONG}</p></section>", [LONG, LONG]),
+    (f"<article><p>{LONG}</p><div class='share-bar'>s</div><div id=related_posts>r</div><div class='legal'>l</div><div class='social-links-top'>x</div><div class=legal-history><p>{LONG}</p></div></article>", [LONG, LONG]),
     # an article of a few signs
     ("<div><p>Hi there.</p></div>", ["Hi there."]),
     ("<nav>x</nav><article><p>Hi.</p></article><div><p>" + LONG + "</p></div>", ["Hi."]),
