@@ -26,12 +26,14 @@ def language_of(text: Column) -> Column:
     )
 
 
-def file_checks(corpus: DataFrame, encoding: str = "utf-8", eol: str = "lf") -> DataFrame:
-    """path, rule: texts beyond ASCII in another encoding, other line ends, and lines indented by tabs beside lines indented by spaces."""
+def file_checks(corpus: DataFrame, encoding: str = "utf-8", eol: str = "lf", header: str = "", header_lines: int = 20) -> DataFrame:
+    """path, rule: texts beyond ASCII in another encoding, other line ends, lines indented by tabs beside lines indented by spaces, and texts without the header in their first lines (if a pattern is given)."""
     text = F.col("text")
     tests = {
         "encoding": text.rlike(r"[^\x00-\x7F]") & (F.lower("encoding") != encoding),
         "lineEnding": text.contains("\n") & (F.lower("eol") != eol),
         "mixedIndent": text.rlike(r"(?m)^\t") & text.rlike(r"(?m)^  +\S"),
     }
+    if header:
+        tests["header"] = ~F.substring_index(text, "\n", header_lines).rlike(header)
     return corpus.select("path", F.explode(F.array_compact(F.array(*(F.when(t, name) for name, t in tests.items())))).alias("rule"))

@@ -83,11 +83,14 @@ def default_null_text(columns: DataFrame) -> DataFrame:
 
 
 def fk_type_mismatch(constraints: DataFrame, columns: DataFrame) -> DataFrame:
-    fks = constraints.where("kind = 'FK'").select("table_name", "ref_table", F.explode(F.arrays_zip("columns", "ref_columns")).alias("z"))
-    child = columns.select("table_name", F.upper("name").alias("c"), canonical_type(F.col("native_type")).alias("ct"), F.col("length").alias("cl"))
-    parent = columns.select(F.col("table_name").alias("ref_table"), F.upper("name").alias("p"), canonical_type(F.col("native_type")).alias("pt"), F.col("length").alias("pl"))
-    pairs = fks.select("table_name", "ref_table", F.upper("z.columns").alias("c"), F.upper("z.ref_columns").alias("p")).join(child, ["table_name", "c"]).join(parent, ["ref_table", "p"])
-    what = F.when(F.col("ct") != F.col("pt"), "type").when(~F.col("cl").eqNullSafe(F.col("pl")), "length")
+    """Foreign-key columns that differ from their parents' in canonical type, else length, else scale (if columns have it). A key that names no parent columns refers to the parent's primary key."""
+    pks = constraints.where("kind = 'PK'").select(F.col("table_name").alias("ref_table"), F.col("columns").alias("pk"))
+    fks = constraints.where("kind = 'FK'").join(pks, "ref_table", "left").withColumn("refs", F.when(F.size("ref_columns") > 0, F.col("ref_columns")).otherwise(F.col("pk")))
+    fks = fks.select("table_name", "ref_table", F.explode(F.arrays_zip(F.col("columns").alias("c"), F.col("refs").alias("p"))).alias("z"))
+    scale = F.col("scale") if "scale" in columns.columns else F.lit(None).cast("int")
+    side = lambda table, name, p: columns.select(F.col("table_name").alias(table), F.upper("name").alias(name), canonical_type(F.col("native_type")).alias(f"{p}t"), F.col("length").alias(f"{p}l"), scale.alias(f"{p}s"))
+    pairs = fks.select("table_name", "ref_table", F.upper("z.c").alias("c"), F.upper("z.p").alias("p")).join(side("table_name", "c", "c"), ["table_name", "c"]).join(side("ref_table", "p", "p"), ["ref_table", "p"])
+    what = F.when(F.col("ct") != F.col("pt"), "type").when(~F.col("cl").eqNullSafe(F.col("pl")), "length").when(~F.col("cs").eqNullSafe(F.col("ps")), "scale")
     return _rule(pairs.withColumn("what", what).where("what is not null"), "fkTypeMismatch", F.concat("c", F.lit(" "), "what"))
 
 

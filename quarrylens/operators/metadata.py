@@ -90,7 +90,7 @@ def column_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def structure(constraints: DataFrame) -> DataFrame:
     """table_name, text: constraints by what they say, not by name; rules that are the default are left out, white space in checks is evened.
 
-    constraints: table_name, kind (PK, FK, UQ, CK), columns, ref_table, ref_columns, delete_rule, update_rule, condition."""
+    constraints: table_name, kind (PK, FK, UQ, CK, and IX and UX for indexes), columns, ref_table, ref_columns, delete_rule, update_rule, condition."""
     cols, refs = F.array_join("columns", ","), F.array_join("ref_columns", ",")
     rule = lambda c, word: F.when(F.coalesce(F.col(c), F.lit("NO ACTION")).isin("NO ACTION", "RESTRICT"), "").otherwise(F.concat(F.lit(f" ON {word} "), F.col(c)))
     text = (

@@ -11,18 +11,19 @@ from quarrylens.session import TABLES, table
 FAULTY = {
     "ORDERS": [("ID", "INT4", None, False, None), ("USER_ID", "VARCHAR", 10, True, None), ("MEMO", "CLOB", None, True, "'NULL'"), ("BODY", "BLOB", None, True, "'NULL' || x")],
     "USERS": [("ID", "VARCHAR2", 20, False, None), ("EMAIL", "VARCHAR", 50, True, None), ("TEL1", "CHAR", 4, True, None), ("TEL2", "CHAR", 4, True, None), ("TEL3", "CHAR", 4, True, None), ("BOSS_ORDER", "INTEGER", None, True, None)],
+    "ALONE": [("X", "DATE", None, True, None), ("Y", "DATE", None, True, None)],
     "LOGS": [("LINE", "VARCHAR", 400, True, None)],
     "ITEMS": [("ORDER_ID", "INTEGER", None, False, None), ("NO", "INT", None, False, None), ("QTY", "NUMBER", 9, True, None), ("COL10", "CHAR", 4, True, None), ("COL11", "CHAR", 4, True, None), ("COL12", "CHAR", 4, True, None)],
 }
 CONSTRAINTS = [
     ("ORDERS", "PK_O", "PK", ["ID"], None, None), ("USERS", "PK_U", "PK", ["ID"], None, None), ("USERS", "UQ_MAIL", "UQ", ["EMAIL"], None, None),
     ("ORDERS", "FK_OU", "FK", ["USER_ID"], "USERS", ["ID"]), ("USERS", "FK_UO", "FK", ["BOSS_ORDER"], "ORDERS", ["ID"]),
-    ("ITEMS", "FK_IO", "FK", ["ORDER_ID"], "ORDERS", ["ID"]), ("ITEMS", "FK_IO2", "FK", ["ORDER_ID"], "ORDERS", ["ID"]), ("ITEMS", "FK_II", "FK", ["NO"], "ITEMS", ["NO"]),
+    ("ITEMS", "FK_IO", "FK", ["ORDER_ID"], "ORDERS", ["ID"]), ("ITEMS", "FK_IO2", "FK", ["ORDER_ID"], "ORDERS", ["ID"]), ("ITEMS", "FK_II", "FK", ["NO"], "ITEMS", ["NO"]), ("LOGS", "FK_LU", "FK", ["LINE"], "USERS", None),
 ]
 INDEXES = [("ITEMS", "IX_A", False, ["ORDER_ID"]), ("ITEMS", "IX_B", True, ["ORDER_ID", "NO"]), ("USERS", "IX_BOSS", False, ["BOSS_ORDER"]), ("USERS", "IX_BOSS2", False, ["BOSS_ORDER"])]
 #: What the rules find in it.
 EXPECTED = [
-    ("fkNoIndex", "ORDERS", "USER_ID"), ("fkNoIndex", "ITEMS", "NO"), ("noRelation", "LOGS", ""), ("noIndex", "LOGS", ""), ("noPk", "ITEMS", ""), ("singleColumn", "LOGS", "1"),
+    ("fkNoIndex", "ORDERS", "USER_ID"), ("fkNoIndex", "ITEMS", "NO"), ("noRelation", "ALONE", ""), ("noIndex", "ALONE", ""), ("missingRequired", "ALONE", "REG_DT"), ("noIndex", "LOGS", ""), ("fkNoIndex", "LOGS", "LINE"), ("fkTypeMismatch", "LOGS", "LINE length"), ("noPk", "ITEMS", ""), ("singleColumn", "LOGS", "1"),
     ("tooManyColumns", "USERS", "6"), ("tooManyColumns", "ITEMS", "6"), ("serialColumns", "ITEMS", "COL"), ("dupRelation", "ITEMS", "ORDER_ID->ORDERS"), ("serialColumns", "USERS", "TEL"), ("defaultNullString", "ORDERS", "MEMO"),
     ("fkTypeMismatch", "ORDERS", "USER_ID length"), ("dupIndex", "ITEMS", "IX_A"), ("dupIndex", "USERS", "IX_BOSS2"), ("uniqueNullable", "USERS", "EMAIL"), ("tooManyLobs", "ORDERS", "2"),
     ("fkCycle", "ORDERS", ""), ("fkCycle", "USERS", ""), ("missingRequired", "ORDERS", "REG_DT"), ("missingRequired", "USERS", "REG_DT"), ("missingRequired", "LOGS", "REG_DT"), ("missingRequired", "ITEMS", "REG_DT"),
@@ -65,8 +66,8 @@ def scoped(s, d):
     return counts.select("table_name", SCOPE.reason(F.lit("main"), F.col("table_name"), F.col("row_count")).alias("reason"))
 
 
-STRUCT_OLD = [("T", "PK", ["A"], None, None, None, None, None), ("T", "FK", ["B"], "U", ["X"], "NO ACTION", None, None), ("T", "CK", [], None, None, None, None, "A  >\n 0"), ("T", "UQ", ["C"], None, None, None, None, None)]
-STRUCT_NEW = [("T", "PK", ["A", "B"], None, None, None, None, None), ("T", "FK", ["B"], "U", ["X"], "CASCADE", None, None), ("T", "CK", [], None, None, None, None, "A > 0"), ("T", "UQ", ["C"], None, None, None, None, None)]
+STRUCT_OLD = [("T", "PK", ["A"], None, None, None, None, None), ("T", "FK", ["B"], "U", ["X"], "NO ACTION", None, None), ("T", "CK", [], None, None, None, None, "A  >\n 0"), ("T", "UQ", ["C"], None, None, None, None, None), ("T", "IX", ["D"], None, None, None, None, None)]
+STRUCT_NEW = [("T", "PK", ["A", "B"], None, None, None, None, None), ("T", "FK", ["B"], "U", ["X"], "CASCADE", None, None), ("T", "CK", [], None, None, None, None, "A > 0"), ("T", "UQ", ["C"], None, None, None, None, None), ("T", "UX", ["D"], None, None, None, None, None)]
 STRUCT = "table_name string, kind string, columns array<string>, ref_table string, ref_columns array<string>, delete_rule string, update_rule string, condition string"
 
 QUERIES = {
@@ -93,7 +94,7 @@ QUERIES = {
     "snapshot_columns": (lambda s, d: metadata.column_diff(*snapshots(s, d)), values([("events", "props", "added", ""), ("orders", "o_totalprice", "changed", "native_type")], "table_name, name, change, fields")),
     "snapshot_structures": (
         lambda s, d: metadata.structure_diff(s.createDataFrame(STRUCT_OLD, STRUCT), s.createDataFrame(STRUCT_NEW, STRUCT)),
-        values([("T", "PK(A)", "removed"), ("T", "PK(A,B)", "added"), ("T", "FK(B)->U(X)", "removed"), ("T", "FK(B)->U(X) ON DELETE CASCADE", "added")], "table_name, text, change"),
+        values([("T", "PK(A)", "removed"), ("T", "PK(A,B)", "added"), ("T", "FK(B)->U(X)", "removed"), ("T", "FK(B)->U(X) ON DELETE CASCADE", "added"), ("T", "IX(D)", "removed"), ("T", "UX(D)", "added")], "table_name, text, change"),
     ),
     "repeated_names": (
         lambda s, d: metadata.repeated_names(metadata.columns_of(s, d, ["orders", "part"]).union(metadata.columns_of(s, d, ["part", "nation"], "other"))),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import adhoc, comments, inputs, lineage, metadata, scan, sqltext
+from quarrylens.operators import adhoc, comments, folders, inputs, lineage, metadata, scan, sqltext
 from quarrylens.sources import sinks, text_files
 
 
@@ -79,6 +79,11 @@ def test_matrix_of_its_own_tables(spark):
         lineage.crud_matrix(crud, "program_id", most=1)
 
 
+def test_file_header(spark):
+    df = spark.createDataFrame([("a", "# owner x\ny", "utf-8", "lf"), ("b", "y\n" * 30 + "# owner", "utf-8", "lf"), ("c", "", "utf-8", "lf")], "path string, text string, encoding string, eol string")
+    assert sorted(map(tuple, folders.file_checks(df, header="# owner").collect())) == [("b", "header"), ("c", "header")]
+
+
 def test_paths_of_rules(spark):
     rule = scan.Rule("r", "x", globs=("*.jsp", "*.html"))
     df = spark.createDataFrame([("a.JSP", "x"), ("b.txt", "x"), ("c.html", "y\nx")], "path string, text string")
