@@ -52,14 +52,19 @@ def diff_pairs(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """key, op, old_line, new_line, text of every changed line of each pair; a pair beyond the caps gives one row of op '?'."""
     kind = pairs.schema[key].dataType.simpleString()
 
+    names = ["key", "op", "old_line", "new_line", "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                found = line_diff(row.column(1)[0].as_py(), row.column(2)[0].as_py())
-                rows = [("?", 0, 0, "")] if found is None else [r for r in found if r[0] != " "]
-                if rows:
-                    ops, x, y, t = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([row.column(0).take(pa.array([0] * len(rows))), pa.array(ops), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(t)], ["key", "op", "old_line", "new_line", "text"])
+            at, rows = [], []
+            for k, (x, y) in enumerate(zip(batch.column(1), batch.column(2))):
+                found = line_diff(x.as_py(), y.as_py())
+                changed = [("?", 0, 0, "")] if found is None else [r for r in found if r[0] != " "]
+                at += [k] * len(changed)
+                rows += changed
+                if len(rows) > MOST_LINES or k == batch.num_rows - 1 and rows:
+                    ops, old_lines, new_lines, texts = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ops), pa.array(old_lines, pa.int32()), pa.array(new_lines, pa.int32()), pa.array(texts)], names)
+                    at, rows = [], []
 
     return pairs.select(F.col(key).alias("key"), F.col(old), F.col(new)).mapInArrow(run, f"key {kind}, op string, old_line int, new_line int, text string").withColumnRenamed("key", key)

@@ -39,6 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: list[str] = []
 LOCAL_CHECKPOINTS = "/tmp/quarrylens-checkpoints"
 
 
@@ -54,12 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written as a table in the shared folder and read back: cuts the lineage and survives lost executors.
+
+    Results that are read later depend on it, so it stays until drop_scratch."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes this program's scratch tables, by Spark's own file systems, once no result needs them any more; returns how many."""
+    n = len(_scratch)
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def local_session(app: str = "quarrylens", cores: str | None = None, **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")

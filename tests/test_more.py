@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylens import session
 from quarrylens.operators import adhoc, comments, folders, inputs, lineage, metadata, scan, sqltext
 from quarrylens.sources import sinks, text_files
 
@@ -79,6 +80,13 @@ def test_matrix_of_its_own_tables(spark):
         lineage.crud_matrix(crud, "program_id", most=1)
 
 
+def test_scratch_tables(spark):
+    kept = session.scratch(spark, spark.range(3), "x")
+    assert kept.count() == 3 and session.drop_scratch(spark) > 0 and session.drop_scratch(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_file_header(spark):
     df = spark.createDataFrame([("a", "# owner x\ny", "utf-8", "lf"), ("b", "y\n" * 30 + "# owner", "utf-8", "lf"), ("c", "", "utf-8", "lf")], "path string, text string, encoding string, eol string")
     assert sorted(map(tuple, folders.file_checks(df, header="# owner").collect())) == [("b", "header"), ("c", "header")]
