@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 EXCLUDED_ORDER = ("json", "redirect", "forward", "class")
 #: Fixed order of a probe's outcomes.
 STATUS_ORDER = ("ERROR", "PASS", "SKIP_DYNAMIC", "SKIP_DOLLAR", "SKIP_UNRESOLVED", "SKIP_REFUSED", "SKIP_NO_DIALECT_FILE")
-STATEMENT_ID = r"^[\p{L}_$][\p{L}\p{N}_$.#-]*$"
+#: Fixed shape of a statement's id; the tails name registers beside the mappers.
+STATEMENT_ID = r"^[\p{L}\p{N}_.$-]{1,300}(?:#(?:jdbc|em|qdsl))?$"
 
 
 def menu_info(menus: DataFrame) -> DataFrame:

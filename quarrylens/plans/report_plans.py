@@ -205,7 +205,10 @@ QUERIES = {
         "SELECT c_mktsegment AS module, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS url, CASE WHEN c_acctbal > 0 THEN c_nationkey % 2 END AS file, c_custkey AS line FROM customer ORDER BY module, url NULLS FIRST, file NULLS FIRST, line LIMIT 100",
     ),
     "recent_list": (lambda s, d: reports.recent(table(s, d, "events").select("user_id", "ts"), "user_id", "ts"), "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1 ORDER BY ts DESC, user_id LIMIT 20"),
-    "sound_statements": (lambda s, d: reports.sound_statements(table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("ns_id"))).groupBy("ns_id").agg(F.count("*").alias("cnt")), r"SELECT regexp_replace(url, '^[a-z]+://', '') AS ns_id, count(*) AS cnt FROM pages WHERE regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^[\p{L}_$][\p{L}\p{N}_$.#-]*$') GROUP BY 1"),
+    "sound_statements": (
+        lambda s, d: reports.sound_statements(table(s, d, "pages").select(F.translate(F.regexp_replace("url", "^[a-z]+://", ""), "/", ".").alias("ns_id"))).groupBy("ns_id").agg(F.count("*").alias("cnt")),
+        f"WITH n AS (SELECT translate(regexp_replace(url, '^[a-z]+://', ''), '/', '.') AS ns_id FROM pages) SELECT ns_id, count(*) AS cnt FROM n WHERE regexp_matches(ns_id, '{reports.STATEMENT_ID}') GROUP BY 1",
+    ),
     "parent_values": (lambda s, d: reports.parent_values(table(s, d, "part"), ["p_brand", "p_type"], 200), "SELECT DISTINCT p_brand, p_type FROM part ORDER BY 1, 2 LIMIT 200"),
     "code_rows": (lambda s, d: reports.code_rows(table(s, d, "nation"), ["n_regionkey", "n_nationkey", "n_name"], "n_regionkey", "n_nationkey"), "SELECT n_regionkey, n_nationkey, n_name FROM nation ORDER BY 1, 2 LIMIT 20000"),
     "word_rows": (lambda s, d: standards.word_rows(used_tokens(s, d), words(s, d)), WORD_ROWS),
