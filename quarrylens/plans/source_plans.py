@@ -20,15 +20,24 @@ COMMENT ON COLUMN app.USERS.ID IS 'number';
 ALTER TABLE USERS ADD CONSTRAINT FK_B FOREIGN KEY (AMT) REFERENCES B (X, Y);
 ALTER TABLE USERS ADD (C1 CHAR(1), C2 DATE);
 CREATE TABLE COPY AS SELECT 1;
+CREATE TABLE P (A INT PRIMARY KEY, B DATE NOT NULL);
+CREATE TABLE L (Z INT, LIKE P);
+CREATE TABLE P1 PARTITION OF app.P FOR VALUES IN (1);
+CREATE TABLE CT AS SELECT * FROM P;
+CREATE TABLE NL LIKE NOWHERE;
+ALTER TABLE P DROP COLUMN B;
 INSERT INTO USERS VALUES (1);
 """
 ROWS = [
     ("TABLE", "USERS", "USERS", None, None, None, None, None, None, "people"), ("COLUMN", "USERS", "ID", 1, "NUMBER", 19, None, False, None, "number"), ("COLUMN", "USERS", "NM", 2, "VARCHAR2", 20, None, False, "'a,b'", "the 'name'"),
     ("COLUMN", "USERS", "AMT", 3, "DECIMAL", 9, 2, True, "(1 + 2)", None), ("COLUMN", "USERS", "AT", 4, "TIMESTAMP WITH TIME ZONE", 6, None, True, "CURRENT_TIMESTAMP", None), ("COLUMN", "USERS", "ORG_ID", 5, "INT", None, None, True, None, None),
     ("COLUMN", "USERS", "C1", 6, "CHAR", 1, None, True, None, None), ("COLUMN", "USERS", "C2", 7, "DATE", None, None, True, None, None), ("CK", "USERS", None, None, None, None, None, None, "AMT > 0", None),
-    ("UNREADABLE", "COPY", "CREATE TABLE COPY AS SELECT 1", None, None, None, None, None, None, None),
+    ("TABLE", "COPY", "COPY", None, None, None, None, None, None, None), ("NOTE", "COPY", "CREATE TABLE COPY AS SELECT 1", None, None, None, None, None, None, None),
+    *[("TABLE", t, t, None, None, None, None, None, None, None) for t in ("P", "L", "P1", "CT", "NL")], ("NOTE", "NL", "CREATE TABLE NL LIKE NOWHERE", None, None, None, None, None, None, None),
+    ("COLUMN", "L", "Z", 1, "INT", None, None, True, None, None), *[("COLUMN", t, c, k + n, kind, None, None, False, None, None) for t, k in (("P", 0), ("L", 1), ("P1", 0), ("CT", 0)) for n, (c, kind) in enumerate((("A", "INT"), ("B", "DATE")), 1)],
+    ("UNREADABLE", "P", "ALTER TABLE P DROP COLUMN B", None, None, None, None, None, None, None),
 ]
-KEYS = [("PK", "USERS", "PK_U", "ID", None, None), ("UQ", "USERS", None, "NM", None, None), ("IX", "USERS", "IX_A", "AT", None, None), ("UQ", "USERS", "UX", "AMT,NM", None, None), ("FK", "USERS", None, "ORG_ID", "ORG", "ID"), ("FK", "USERS", "FK_B", "AMT", "B", "X,Y")]
+KEYS = [*[("PK", t, None, "A", None, None) for t in ("P", "L", "P1")], ("PK", "USERS", "PK_U", "ID", None, None), ("UQ", "USERS", None, "NM", None, None), ("IX", "USERS", "IX_A", "AT", None, None), ("UQ", "USERS", "UX", "AMT,NM", None, None), ("FK", "USERS", None, "ORG_ID", "ORG", "ID"), ("FK", "USERS", "FK_B", "AMT", "B", "X,Y")]
 
 MAPPERS = [
     ("a.xml", '<?xml version="1.0"?>\n<!DOCTYPE mapper PUBLIC "-//x//EN" "http://none/x.dtd">\n<mapper namespace="user">\n<sql id="cols">a, <include refid="other.more"/></sql>\n<select id="list">SELECT <include refid="cols"/> FROM t1 JOIN t2 ON t1.id = t2.id <if test="x">WHERE x = #{x}</if></select>\n<update id="all">UPDATE t1 SET a = 1</update>\n<delete id="one">DELETE FROM t1 WHERE a &lt; 1</delete>\n</mapper>'),
