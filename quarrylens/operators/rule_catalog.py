@@ -33,7 +33,7 @@ COMMON = (
         ("password", "error", rf"(?i)\b{SECRET_NAME}\s*[:=]\s*[\"']?[^\s\"'<>$#]{{4,}}"),
     )
 )
-JSP = _of("jsp", ("*.jsp", "*.jspf"), ("expression", "info", r"<%=[^%]*%>"), ("escapeXmlFalse", "warn", r"escapeXml\s*=\s*[\"']false[\"']"), ("blankNoopener", "warn", r"<a\b[^>]*target\s*=\s*[\"']?_blank[^>]*>", r"\brel\s*="))
+JSP = _of("jsp", ("*.jsp", "*.jspf"), ("expression", "info", r"<%=[^%]*%>"), ("escapeXmlFalse", "warn", r"escapeXml\s*=\s*[\"']false[\"']"))
 TSX = _of(
     "tsx", SCRIPT,
     ("debugger", "warn", r"^\s*debugger\s*;?"), ("console", "warn", r"\bconsole\.(log|debug|info|warn|error|trace)\s*\("), ("any", "info", r"[:<,]\s*any\b|\bas\s+any\b"),
@@ -95,6 +95,11 @@ ABSENT = (
     ("security.cfgCookieHttpOnly", "warn", r"<web-app\b", r"<http-only>\s*true"), ("security.cfgCookieSecure", "info", r"<web-app\b", r"<secure>\s*true"),
     ("a11y.thScope", "info", r"<th([\s/>]|$)", r"\bscope\s*="), ("a11y.tableCaption", "warn", r"<th\b", r"<caption\b"), ("a11y.pageTitle", "warn", r"<html\b", r"<title\b"),
 )
+#: Tag rules, over line ends: id, severity, pattern, what the match must hold.
+TAGS = (
+    ("jsp.blankNoopener", "warn", r"(?i)<a\b[^>]*target\s*=\s*[\"']?_blank[^>]*>", r"(?i)\brel\s*="),
+    ("a11y.jsxInputLabel", "info", r"<input\b[^>]*>", r"(type\s*=\s*[\"'{]*(hidden|submit|button|image|reset)|title\s*=|aria-label|\bid\s*=|\.\.\.)"),
+)
 #: Count rules: id, severity, pattern, most.
 COUNTS = (("jsp.scriptlets", "info", r"<%[^@=!-]", 0),)
 

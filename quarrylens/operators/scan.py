@@ -87,6 +87,26 @@ def count_rule(corpus: DataFrame, rule: str, pattern: str, most: int) -> DataFra
     return corpus.select("path", first.cast("int").alias("line"), F.lit(rule).alias("rule"), n.cast("long").alias("hits")).where(F.col("hits") > most)
 
 
+def tag_rule(corpus: DataFrame, rule: str, pattern: str, without: str) -> DataFrame:
+    """path, line, rule: matches of the pattern in a whole text, over line ends, that do not hold `without`; at the line where each begins."""
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + newlines(x))
+    found = corpus.where(F.col("text").rlike(pattern)).select("path", F.split("text", pattern, -1).alias("between"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches"))
+    hits = F.transform("matches", lambda m, i: F.when(~m.rlike(without), 1 + total(F.slice("between", 1, i + 1)) + total(F.slice("matches", 1, i))))
+    return found.select("path", F.explode(F.array_compact(hits)).alias("line"), F.lit(rule).alias("rule"))
+
+
+def unused_imports(corpus: DataFrame, rule: str = "tsx.unusedImport") -> DataFrame:
+    """path, line, rule, name: names that a text imports (on one line, by default, in braces or as a whole) and that stand nowhere else in it."""
+    line = corpus.select("path", "text", F.posexplode(F.split("text", "\n")).alias("at", "content")).where(F.col("content").rlike(r"^\s*import\b.*\bfrom\b"))
+    whole = F.array(*(F.regexp_extract("content", p, 1) for p in (r"^\s*import\s+(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|from)", r"\*\s+as\s+([\w$]+)")))
+    braced = F.transform(F.split(F.regexp_extract("content", r"\{([^}]*)\}", 1), ","), lambda x: F.element_at(F.split(F.trim(x), r"\s+"), -1))
+    name = line.select("path", "text", (F.col("at") + 1).alias("line"), F.explode(F.filter(F.concat(whole, braced), lambda x: x != "")).alias("name"))
+    code = F.regexp_replace("text", r"\bfrom\s*[\"'][^\"']*[\"']", "from")  # a module's own name is no use
+    times = F.regexp_count(code, F.concat(F.lit(r"(?<![\w$])"), F.replace("name", F.lit("$"), F.lit(r"\$")), F.lit(r"(?![\w$])")))
+    return name.where(times < 2).select("path", "line", F.lit(rule).alias("rule"), "name")
+
+
 def card_numbers(corpus: DataFrame) -> DataFrame:
     """path, number: runs of sixteen digits from 3 to 6 on that pass the Luhn test."""
     runs = corpus.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\b([3-6][0-9]{15})\b"), F.lit(1))).alias("number"))

@@ -88,7 +88,20 @@ def statement_lint(s, d):
     return sqltext.lint_sql(table(s, d, "part").select("p_partkey", sql.alias("sql")), "sql", "p_partkey")
 
 
+TAG_TEXTS = [("a", '<a href="x"\n target="_blank">y</a>\n<a target=_blank\nrel=noopener>z</a> <a target="_blank">w</a>\n<input\n name="q"\n/><input id="x">\n<input name="r" />'), ("b", None), ("c", ""), ("d", "<a>")]
+IMPORTS = [("a", 'import React, { useState, useRef as ref } from "react"\nimport * as all from "all"\nimport type T from "t"\nimport "side"\nconst [x] = useState<T>(React)'), ("b", None), ("c", 'import $q from "q"\n$q.a()\nimport z from "z"')]
+
+
+def tag_rules(s, d):
+    """Over the pages, and over texts with tags that go over line ends."""
+    texts = corpus(s, d).union(s.createDataFrame(TAG_TEXTS, "path string, text string"))
+    found = [scan.tag_rule(texts, rule, pattern, without) for rule, _, pattern, without in rule_catalog.TAGS]
+    return found[0].union(found[1]).where("path not like 'code/%'")
+
+
 QUERIES = {f"rules_{g}": group_query(g) for g in rule_catalog.GROUPS} | {
     "rules_absent": (absent_rules, " UNION ALL ".join(absent_sql(rule, when, required) for rule, _, when, required in rule_catalog.ABSENT)),
+    "rules_tags": (tag_rules, values([("a", 1, "jsp.blankNoopener"), ("a", 4, "jsp.blankNoopener"), ("a", 5, "a11y.jsxInputLabel"), ("a", 8, "a11y.jsxInputLabel")], "path, line, rule")),
+    "unused_imports": (lambda s, d: scan.unused_imports(s.createDataFrame(IMPORTS, "path string, text string")), values([("a", 1, "tsx.unusedImport", "ref"), ("a", 2, "tsx.unusedImport", "all"), ("c", 3, "tsx.unusedImport", "z")], "path, line, rule, name")),
     "statement_lint": (statement_lint, " UNION ALL ".join(f"SELECT p_partkey, '{rule}' AS rule FROM part WHERE p_size % {len(STATEMENTS)} = {n}" for rule, n in BROKEN)),
 }
