@@ -38,14 +38,14 @@ def length_text(length: Column, precision: Column, scale: Column) -> Column:
 
 
 def key_info(columns: DataFrame, constraints: DataFrame) -> DataFrame:
-    """table_name, name, pk, ak, fk: PK01 by place in the primary key, AK_1-01 by unique key and place, referenced columns."""
+    """table_name, name, pk, ak, fk: PK01 by place in the primary key, AK_1-01 by unique key and place, referenced columns (the table alone where a key names none)."""
     each = constraints.select("table_name", "kind", F.col("name").alias("constraint"), "ref_table", "ref_columns", F.posexplode("columns").alias("at", "column"))
     numbered = each.where("kind = 'UQ'").select("table_name", "constraint").distinct().withColumn("k", F.row_number().over(Window.partitionBy("table_name").orderBy("constraint")))
     each = each.join(numbered, ["table_name", "constraint"], "left").withColumn("key", F.upper("column"))
     text = (
         F.when(F.col("kind") == "PK", F.format_string("PK%02d", F.col("at") + 1))
         .when(F.col("kind") == "UQ", F.format_string("AK_%d-%02d", "k", F.col("at") + 1))
-        .when(F.col("kind") == "FK", F.concat("ref_table", F.lit("."), F.coalesce(F.get("ref_columns", F.col("at")), F.lit(""))))
+        .when(F.col("kind") == "FK", F.concat_ws(".", "ref_table", F.get("ref_columns", F.col("at"))))
     )
     each = each.where("kind in ('PK', 'UQ', 'FK')").select("table_name", "key", "kind", "constraint", text.alias("text"))
     joined = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("constraint", "text")))), lambda x: x["text"]), ", ")

@@ -46,7 +46,7 @@ QUERIES = {
     ),
     "key_info": (
         lambda s, d: definitions.key_info(faulty(s)[1], faulty(s)[2]).where("pk <> '' or ak <> '' or fk <> ''"),
-        values([("ORDERS", "ID", "PK01", "", ""), ("USERS", "ID", "PK01", "", ""), ("USERS", "EMAIL", "", "AK_1-01", ""), ("ORDERS", "USER_ID", "", "", "USERS.ID"), ("USERS", "BOSS_ORDER", "", "", "ORDERS.ID"), ("ITEMS", "ORDER_ID", "", "", "ORDERS.ID, ORDERS.ID"), ("ITEMS", "NO", "", "", "ITEMS.NO")], "table_name, name, pk, ak, fk"),
+        values([("ORDERS", "ID", "PK01", "", ""), ("USERS", "ID", "PK01", "", ""), ("USERS", "EMAIL", "", "AK_1-01", ""), ("ORDERS", "USER_ID", "", "", "USERS.ID"), ("USERS", "BOSS_ORDER", "", "", "ORDERS.ID"), ("ITEMS", "ORDER_ID", "", "", "ORDERS.ID, ORDERS.ID"), ("ITEMS", "NO", "", "", "ITEMS.NO"), ("LOGS", "LINE", "", "", "USERS")], "table_name, name, pk, ak, fk"),
     ),
     "constraint_text": (
         lambda s, d: definitions.constraint_text(columns(s), s.createDataFrame(CHECKS, "table_name string, condition string")).where("text <> ''"),
