@@ -30,8 +30,8 @@ def crud_matrix(crud: DataFrame, key: str, tables: list[str] | None = None, most
         tables = sorted(r[0] for r in crud.select("table_name").distinct().limit(most + 1).collect())
         if len(tables) > most:
             raise ValueError(f"over {most} tables cannot be columns")
-    cell = lambda t, x: F.max(F.when((F.col("table_name") == t) & F.col("crud").contains(x), x).otherwise(""))
-    return crud.groupBy(key).agg(*(F.concat(*(cell(t, x) for x in LETTERS)).alias(t.lower().replace("#", "_")) for t in tables))
+    merged = crud.groupBy(key, "table_name").agg(letters(F.col("crud")).alias("crud"))  # one row for each cell
+    return merged.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("table_name") == t, F.col("crud"))), F.lit("")).alias(t.lower().replace("#", "_")) for t in tables))
 
 
 def program_counts(crud: DataFrame) -> DataFrame:
