@@ -17,6 +17,7 @@ from quarrylens.llm.simhash import op4_simhash
 from quarrylens.llm.token_counts import op5_token_counts
 from quarrylens.llm.token_ids import op6_token_ids
 from quarrylens.llm.url_filters import op1_url_filters
+from quarrylens.llm.word_bpe import op13_word_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_html_extraction": op9_html_extraction,
         "op10_language_id": op10_language_id,
+        "op13_word_bpe": op13_word_bpe,
     }
 
 
