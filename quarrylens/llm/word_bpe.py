@@ -163,7 +163,7 @@ def merge_long(m: WordBpe, raw: bytes) -> np.ndarray:
     n = len(raw)
     symbol = m.inner[np.frombuffer(raw, np.uint8)]
     symbol[-1] = m.final[raw[-1]]
-    leaves, shift, never = 1 << max(n - 2, 1).bit_length(), 40, NEVER << 32
+    leaves, shift, never = 1 << (n - 1).bit_length(), 40, NEVER << 32
     tree = np.full(2 * leaves, never, np.int64)
     ranks = m.rank_of(symbol[:-1], symbol[1:]).astype(np.int64)
     tree[leaves : leaves + n - 1] = np.where(ranks < NEVER, (ranks << shift) + np.arange(n - 1), never)
