@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylens.llm.common import table, text_groups
 from quarrylens.llm.token_counts import byte_letters, sums_of
@@ -393,7 +394,7 @@ def word_bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
             texts = [None if not v.is_valid else decoder.decode(np.asarray(v.values.drop_null())) for v in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return read.mapInArrow(run, read.schema.add("decoded", "string"))
+    return read.mapInArrow(run, T.StructType([*read.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op13_word_bpe(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
