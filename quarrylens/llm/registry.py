@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import embedding_dedup, language_id, lexical_search, url_filters
+from quarrylens.llm import collocations, embedding_dedup, language_id, lexical_search, url_filters
+from quarrylens.llm.collocations import op11_collocations
 from quarrylens.llm.decontamination import op8_decontamination
 from quarrylens.llm.embedding_dedup import op7_embedding_dedup
 from quarrylens.llm.html_extraction import op9_html_extraction
@@ -33,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_html_extraction": op9_html_extraction,
         "op10_language_id": op10_language_id,
+        "op11_collocations": op11_collocations,
         "op12_lexical_search": op12_lexical_search,
         "op13_word_bpe": op13_word_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.ORACLE_SQL, "op7_embedding_dedup": embedding_dedup.ORACLE_SQL, "op10_language_id": language_id.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
+    return {"op1_url_filters": url_filters.ORACLE_SQL, "op7_embedding_dedup": embedding_dedup.ORACLE_SQL, "op10_language_id": language_id.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
