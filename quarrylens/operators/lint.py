@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import type_normalise
-from quarrylens.session import scratch
+from quarrylens.operators.graphs import strongly_connected
 
 #: Fixed lists: type names that mean the same, and large-object types.
 SYNONYMS = {"INT": "INTEGER", "INT4": "INTEGER", "INT8": "BIGINT", "INT2": "SMALLINT", "VARCHAR2": "VARCHAR", "NVARCHAR2": "NVARCHAR", "CHARACTER VARYING": "VARCHAR", "CHARACTER": "CHAR", "BPCHAR": "CHAR", "NUMBER": "NUMERIC", "DECIMAL": "NUMERIC", "FLOAT8": "DOUBLE", "DOUBLE PRECISION": "DOUBLE", "FLOAT4": "REAL", "BOOL": "BOOLEAN", "TIMESTAMPTZ": "TIMESTAMP WITH TIME ZONE", "TIMETZ": "TIME WITH TIME ZONE", "DATETIME": "TIMESTAMP"}
@@ -118,13 +118,9 @@ def many_lobs(columns: DataFrame) -> DataFrame:
 
 
 def fk_cycle(constraints: DataFrame) -> DataFrame:
-    """Tables in a cycle of foreign keys of two tables or more. Paths double in length each round until no pair is new, each round a written table."""
-    edges = constraints.where("kind = 'FK' and table_name <> ref_table").select(F.col("table_name").alias("a"), F.col("ref_table").alias("b")).distinct()
-    out, known = scratch(constraints.sparkSession, edges, "fk-paths"), -1
-    while (found := out.count()) != known:
-        longer = out.alias("f").join(out.alias("e"), F.col("f.b") == F.col("e.a")).select("f.a", "e.b")
-        out, known = scratch(constraints.sparkSession, out.union(longer).distinct(), "fk-paths"), found
-    cyclic = out.where("a = b").select(F.col("a").alias("table_name")).distinct()
+    """Tables in a cycle of foreign keys of two tables or more: those of a strongly connected component."""
+    edges = constraints.where("kind = 'FK'").select(F.col("table_name").alias("a"), F.col("ref_table").alias("b"))
+    cyclic = strongly_connected(edges).select(F.col("node").alias("table_name"))
     return _rule(cyclic, "fkCycle", F.lit(""))
 
 

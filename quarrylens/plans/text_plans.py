@@ -79,6 +79,17 @@ def diff_counts(s, d):
     return found.groupBy("doc_id").agg(F.count_if(F.col("op") == "-").alias("removed"), F.count_if(F.col("op") == "+").alias("added"), F.count_if(F.col("op") == "?").alias("too_long"))
 
 
+def diff_edits(s, d):
+    """Each document with its lines numbered, against itself with every third line gone and a new one before every fifth."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.concat((i + 1).cast("string"), F.lit(":"), x).alias("t")))
+    old = F.transform(numbered, lambda x: x["t"])
+    fresh = lambda x: F.when(x["i"] % 5 == 0, F.array(F.concat(F.lit("new "), x["i"].cast("string")))).otherwise(F.array().cast("array<string>"))
+    kept = lambda x: F.when(x["i"] % 3 != 0, F.array(x["t"])).otherwise(F.array().cast("array<string>"))
+    new = F.flatten(F.transform(numbered, lambda x: F.concat(fresh(x), kept(x))))
+    pairs = table(s, d, "documents").where("text is not null").select("doc_id", F.array_join(old, "\n").alias("old"), F.array_join(new, "\n").alias("new"))
+    return textdiff.diff_pairs(pairs, "doc_id", "old", "new").select("doc_id", "op", "old_line", "new_line")
+
+
 QUERIES = {
     "line_rule_scan": (
         lambda s, d: scan.line_rules(corpus(s, d)),
@@ -130,6 +141,12 @@ QUERIES = {
         c AS (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '[0-9]'))) AS k, CASE WHEN len(l) > 1 THEN 1 ELSE 0 END AS cut, CASE WHEN len(l) > 1 AND regexp_matches(l[-1], '[0-9]') THEN 1 ELSE 0 END AS cut_and_changed FROM l)
         SELECT doc_id, k + cut - cut_and_changed AS removed, k - cut_and_changed AS added, 0 AS too_long FROM c WHERE k + cut > 0""",
     ),
+    "line_diff_rows": (
+        diff_edits,
+        """WITH n AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, '-' AS op, CAST(i AS INTEGER) AS old_line, 0 AS new_line FROM n WHERE i % 3 = 0
+        UNION ALL SELECT doc_id, '+', 0, CAST(i // 5 + (i - 1) - (i - 1) // 3 AS INTEGER) FROM n WHERE i % 5 = 0""",
+    ),
     "sql_tables": (
         lambda s, d: sqltext.table_refs(sqls(s, SQLS[:7]), "sql", "id"),
         values([(1, "T1", "R"), (1, "T2", "R"), (2, "T3", "R"), (2, "T4", "C"), (2, "T5", "R"), (3, "T6", "RD"), (3, "T7", "R"), (4, "T8", "U"), (4, "T9", "R"), (5, "T10", "R"), (5, "T11", "R"), (6, "T12", "U"), (6, "T13", "R")], "id, table_name, crud"),
