@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import scratch, table, text_groups
 
 #: Bytes of a language's texts that make a part; a longer text is a part alone.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 #: Ids a tile spans each way; tiles each way that may be dense; cells of a part in a tile below which it stays sparse.
-TILE, DENSE, SPARSE = 1 << 10, 4, 1 << 12
+TILE, DENSE, SPARSE = 1 << 9, 4, 1 << 12
 #: Sparse cells held before they are sorted, and distinct ones before they are handed on.
-FRESH, HELD = 1 << 21, 1 << 22
+FRESH, HELD = 1 << 20, 1 << 21
 #: Bytes of a dictionary that is broadcast.
 BROADCAST = 1 << 25
 BREAK = 0xFF
@@ -120,8 +120,9 @@ class Tiles:
             if end - begin < SPARSE and t not in self.dense:
                 self._sparse(x[begin:end] * self.n_words + y[begin:end])
             elif end > begin:
-                cells = np.bincount(x[begin:end] % TILE * TILE + y[begin:end] % TILE, minlength=TILE * TILE)
-                self.dense[t] = self.dense[t] + cells if t in self.dense else cells
+                if t not in self.dense:
+                    self.dense[t] = np.zeros(TILE * TILE, np.int64)
+                self.dense[t] += np.bincount(x[begin:end] % TILE * TILE + y[begin:end] % TILE, minlength=TILE * TILE)
         self._sparse(a[~low] * self.n_words + b[~low])
         if self.waiting > FRESH:
             self._sort()
@@ -135,7 +136,9 @@ class Tiles:
             self.waiting += len(codes)
 
     def _sort(self) -> None:
-        codes = np.sort(np.concatenate(self.fresh))
+        codes = np.concatenate(self.fresh)
+        self.fresh, self.waiting = [], 0
+        codes.sort()
         starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         counts = np.diff(np.append(starts, len(codes)))
         both, n = np.concatenate([self.codes, codes[starts]]), np.concatenate([self.counts, counts])
@@ -143,7 +146,6 @@ class Tiles:
         both, n = both[order], n[order]
         starts = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
         self.codes, self.counts = both[starts], np.add.reduceat(n, starts)
-        self.fresh, self.waiting = [], 0
 
     def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.fresh:
@@ -213,15 +215,18 @@ def _counted(parts: DataFrame, dictionaries: Dictionaries) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = Tiles(dictionaries.n_words)
-        out = lambda codes, n: pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+
+        def some(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(codes), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])], ["code", "n"])
+
         for batch in batches:
             for row in _rows(batch):
                 a, b, _ = Dictionaries.places(dictionaries.sequences(row))
                 for full in tiles.add(a, b):
-                    yield out(*full)
-        for codes, n in tiles.rest():
-            for at in range(0, len(codes), 1 << 18):
-                yield out(codes[at : at + (1 << 18)], n[at : at + (1 << 18)])
+                    yield from some(*full)
+        for held in tiles.rest():
+            yield from some(*held)
 
     return parts.mapInArrow(run, "code long, n long")
 
