@@ -54,13 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where or LOCAL_CHECKPOINTS
 
 
-def scratch(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage and survives lost executors.
+def scratch(spark: SparkSession, df: DataFrame, what: str, **options: str) -> DataFrame:
+    """df written (with options of the writer) as a table in the shared folder and read back: cuts the lineage and survives lost executors.
 
     Results that are read later depend on it, so it stays until drop_scratch."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     _scratch.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

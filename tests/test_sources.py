@@ -35,8 +35,8 @@ def test_action_links(spark):
 def test_line_diff_applies():
     for old, new in (("a\nb\nc", "a\nx\nc\nd"), ("", "a"), ("a", ""), ("a\na\nb", "a\nb\nb"), ("x", "x")):
         diff = textdiff.line_diff(old, new)
-        assert [t for op, _, _, t in diff if op in " -"] == old.split("\n")
-        assert [t for op, _, _, t in diff if op in " +"] == new.split("\n")
+        assert [t for op, _, _, t in diff if op in " -"] == (old.split("\n") if old else [])  # an empty text has no lines
+        assert [t for op, _, _, t in diff if op in " +"] == (new.split("\n") if new else [])
 
 
 def test_masks(spark):
