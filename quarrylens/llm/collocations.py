@@ -40,10 +40,12 @@ PART_BYTES = 6 << 20
 #: Ids a tile spans each way; tiles each way that may be dense; cells of a part in a tile below which it stays sparse.
 TILE, DENSE, SPARSE = 1 << 9, 4, 1 << 12
 #: Sparse cells held before they are sorted, and distinct ones before they are handed on.
-FRESH, HELD = 1 << 20, 1 << 21
+FRESH, HELD = 1 << 18, 1 << 19
 #: Bytes of a dictionary that is broadcast.
 BROADCAST = 1 << 25
 BREAK = 0xFF
+#: Parts are rows of megabytes: row groups of a few of them, so that a reader holds no more at once.
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: A-Z become a-z; the signs between pieces become a byte that UTF-8 does not use.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else BREAK if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
@@ -248,14 +250,14 @@ def _with_own(parts: DataFrame, keys: DataFrame, numbered: DataFrame, on: list[s
     """parts with a column of each part's own dictionary, its keys in ascending order; keys: part, the join's columns and `key`."""
     found = keys.join(numbered.select(*on, "id"), on).select("part", F.col(key).alias("k"), "id")
     own = found.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias(name))
-    return scratch(parts.sparkSession, parts.join(own, "part", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType))), what)
+    return scratch(parts.sparkSession, parts.join(own, "part", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType))), what, **ROW_GROUPS)
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, share: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases of 2 to `longest` words that occur `least`
     times or more; a phrase goes if one that holds it occurs in at least `share` percent of its places."""
     spark = docs.sparkSession
-    parts = scratch(spark, _coded(docs, text_col, lang_col), "phrase-parts")
+    parts = scratch(spark, _coded(docs, text_col, lang_col), "phrase-parts", **ROW_GROUPS)
     totals = parts.groupBy("lang").agg(F.sum("n").alias("n"))
     each = parts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     counted = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least)
