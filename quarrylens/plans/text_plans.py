@@ -122,6 +122,14 @@ QUERIES = {
         values([("a", 1, scan.UNUSED), ("e", 4, scan.UNUSED), ("e", 7, scan.UNUSED), ("f", 1, scan.UNUSED)], "path, line, rule"),
     ),
     "duplicate_blocks": (lambda s, d: duplicates.duplicate_blocks(corpus(s, d), 3), BLOCKS),
+    "block_hashes": (
+        lambda s, d: corpus(s, d).where("text is not null").select("path", duplicates.fnv1a(F.transform(duplicates.normal_lines(F.col("text")), duplicates.java_hash)).alias("h")),
+        f"""WITH l AS (SELECT path, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM ({CORPUS}) WHERE text IS NOT NULL),
+        j AS (SELECT path, list_transform(l, lambda x: list_reduce(list_transform(string_split(x, ''), lambda c: CAST(unicode(c) AS HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296, CAST(0 AS HUGEINT))) AS hs FROM l),
+        f AS (SELECT path, list_reduce(list_transform(hs, lambda h: CASE WHEN h >= 2147483648 THEN h - 4294967296 + 18446744073709551616 ELSE h END), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS x FROM j)
+        SELECT path, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS h FROM f""",
+    ),
+    "long_blocks": (lambda s, d: duplicates.duplicate_blocks(corpus(s, d), 30), BLOCKS.replace("i + 3]", "i + 30]").replace("len(l) - 3", "len(l) - 30").replace("count(*) + 2", "count(*) + 29")),
     "changed_blocks": (
         lambda s, d: duplicates.reportable(duplicates.duplicate_blocks(corpus(s, d), 3), table(s, d, "documents").where("source < 'src3'").select(F.format_string("%08d", "doc_id").alias("path"))),
         f"""WITH c AS (SELECT printf('%08d', doc_id) AS path FROM documents WHERE source < 'src3'), b AS ({BLOCKS})

@@ -1,4 +1,4 @@
-"""Links in page texts and restored log SQL, as table functions over rows."""
+"""Links in page texts, as table functions over rows."""
 
 from __future__ import annotations
 
@@ -35,25 +35,3 @@ def action_links(pages: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], ["key", "url", "kind"])
 
     return pages.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind_of}, url string, kind string").withColumnRenamed("key", key)
-
-
-def restore_log(log: str) -> list[str]:
-    """Statements of a log: each `Preparing:` line with the next `Parameters:` line put in, texts quoted, null as NULL."""
-    out, statement = [], None
-    for line in log.split("\n"):
-        if (m := re.search(r"Preparing:\s*(.*)$", line)) is not None:
-            statement = m[1]
-        elif statement is not None and (m := re.search(r"Parameters:\s*(.*)$", line)) is not None:
-            values = re.findall(r"\s*(null|.*?\((?:String|Integer|Long|Short|Byte|Double|Float|BigDecimal|Boolean|Timestamp|Date|Time|LocalDate|LocalDateTime)\))(?:,|$)", m[1])
-            literals = iter([v if v != "null" else None for v in values])
-
-            def literal(_: re.Match) -> str:
-                v = next(literals, "")
-                if v is None:
-                    return "NULL"
-                body, _, kind = v.rpartition("(")
-                return body if kind[:-1] in ("Integer", "Long", "Short", "Byte", "Double", "Float", "BigDecimal", "Boolean") else "'" + body.replace("'", "''") + "'" if v else "?"
-
-            out.append(re.sub(r"\?", literal, statement))
-            statement = None
-    return out

@@ -22,11 +22,6 @@ def test_delimiter_and_header():
     assert text_files.column_at(["No"], ["x"]) == -1
 
 
-def test_log_restore():
-    log = "==> Preparing: select * from t where a = ? and b = ?\n==> Parameters: it's(String), null\nother\n==> Preparing: x ?\n==> Parameters: 5(Integer)"
-    assert page_links.restore_log(log) == ["select * from t where a = 'it''s' and b = NULL", "x 5"]
-
-
 def test_action_links(spark):
     df = spark.createDataFrame([(1, '<a href="/x/list.do?p=1">'), (2, "window.open('/pop.do')"), (3, None)], "id long, t string")
     assert sorted(map(tuple, page_links.action_links(df, "id", "t").collect())) == [(1, "/x/list.do", "link"), (2, "/pop.do", "popup")]
