@@ -44,6 +44,8 @@ FRESH, HELD = 1 << 18, 1 << 19
 #: Bytes of a dictionary that is broadcast.
 BROADCAST = 1 << 25
 BREAK = 0xFF
+#: Shares in which a language's phrases are ranked before all together.
+SHARES = 32
 #: Parts are rows of megabytes: row groups of a few of them, so that a reader holds no more at once.
 ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: A-Z become a-z; the signs between pieces become a byte that UTF-8 does not use.
@@ -328,8 +330,11 @@ def _ranked(found: list[DataFrame], single: DataFrame, totals: DataFrame, top: i
         held = held.groupBy("lang", "phrase").agg(F.max("f").alias("held"))
         over = F.expr(f"cast(held as decimal(20,0)) * 100 >= cast(a as decimal(20,0)) * {int(share)}")
         kept = lowest.join(held, ["lang", "phrase"], "left").where(F.col("held").isNull() | ~over)
-    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = (F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
+    shares = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    first = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))
+    shares = shares.withColumn("first", first).where(F.col("first") <= top)  # so the last window has at most SHARES * top rows a language
+    ranked = shares.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
