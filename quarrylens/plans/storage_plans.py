@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarrylens.operators import limits, metadata
+from quarrylens.operators import limits, metadata, sqltext
 from quarrylens.plans import lineage_plans
 from quarrylens.session import TABLES, shared_dir, table
 from quarrylens.sources import footers, log_sql, runs, text_folder
@@ -61,6 +61,12 @@ def log_lines(s, d):
     return first.union(e.where("event_type <> 'error'").select("thread", F.col("event_id") * 2 + 1, F.concat(F.lit("12:00 DEBUG ==> Parameters: "), values)))
 
 
+def statements(s, d):
+    """A statement of every event, of a form by its type."""
+    forms = F.when(F.col("event_type") == "error", "SELECT v FROM stats FOR SHARE OF ").when(F.col("event_type") == "view", "/* ok */ with a as (select 1) select * from a where k = ").when(F.col("event_type") == "click", "SELECT ｖ FROM stats WHERE n = ").otherwise("UPDATE stats SET v = ")
+    return table(s, d, "events").select("event_id", F.concat(forms, F.col("user_id"), F.when(F.col("event_id") % 5 == 0, " ; select 2").otherwise(" ; ")).alias("sql"))
+
+
 def one_statistic(t, c, number):
     bounds = f"CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, CAST(NULL AS VARCHAR) AS first, CAST(NULL AS VARCHAR) AS last" if number else f"CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), min({c}), max({c})"
     return f"SELECT '{t}' AS table_name, '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, {bounds} FROM {t}"
@@ -83,6 +89,10 @@ QUERIES = {
         SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'utf-8-bom' ELSE 'utf-8' END AS encoding, CASE WHEN doc_id % 3 = 0 AND ends > 0 THEN 'crlf' ELSE 'lf' END AS eol,
         CAST(octet_length(encode(t)) + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN ends ELSE 0 END AS BIGINT) AS bytes, false AS truncated, sha256(t) AS digest FROM n""",
     ),
+    "gate_events": (
+        lambda s, d: sqltext.gate(statements(s, d), "sql", "event_id"),
+        "SELECT event_id, event_type IN ('view', 'click') AND event_id % 5 <> 0 AS read_only FROM events",
+    ),
     "log_restore": (
         lambda s, d: log_sql.restored(log_lines(s, d)),
         """WITH e AS (SELECT user_id AS thread, event_id * 2 AS seq, event_type AS t, CAST(round(value * 100) AS BIGINT) AS c, 'UPDATE stats SET v = ? WHERE k = ? AND note <> ''?''' AS sql FROM events)

@@ -26,13 +26,13 @@ def test_adhoc(spark):
     assert [adhoc.probe(spark, q) for q in ("SELECT id FROM range(3)", "SELECT nope FROM range(3)", "DELETE FROM x")] == ["PASS", "ERROR", "SKIP"]
 
 
-def test_gate_and_lint():
+def test_gate_and_lint(spark):
     assert sqltext.read_only("select 1") and sqltext.read_only("WITH a AS (SELECT 1) SELECT * FROM a")
     for bad in ("select 1; drop table t", "update t set a = 1", "select * from t for update", "select /*! x */ 1", "select 1 /* open", "", None, "select * into x from y"):
         assert not sqltext.read_only(bad)
-    for bad in ("select * from t for share", "ｓｅｌｅｃｔ 1", "select 'drop' from t", "select 1; select 2", "select /* a /* b */ */ 1", "select 1 waitfor delay '1'", "selection"):
+    for bad in ("select * from t for share", "ｓｅｌｅｃｔ 1", "select 'drop' from t", "select 1; select 2", "select /* a /* b */ */ 1", "select 1 waitfor delay '1'", "selection", "select 1 ｉｎｔｏ x", "select 𝐢𝐧𝐭𝐨 y", "select 1 reﬆore", "select a ﬁ, diﬅab, ⓓⓡⓞⓟ", "select 1 for update share", "/*m! x */ select 1", "--x"):
         assert not sqltext.read_only(bad)
-    assert sqltext.read_only("/* a */ select 1 ;; ") and sqltext.read_only("-- x\nwith a as (select 1) select * from a")
+    assert sqltext.read_only("select 'ﬁ é 한글 🙂' as x, forshare, share from intox") and sqltext.read_only("/* a */ select 1 ;; ") and sqltext.read_only("-- x\nwith a as (select 1) select * from a")
     assert sqltext.lint("select * from a cross join b") == [] and sqltext.lint("insert into t (a) values (1)") == []  # a cross join that is spelt out is meant
     assert sqltext.lint("select * from a, b") == ["crossJoin"] and sqltext.lint("select * from a join b where a.x = b.x") == []
     assert sqltext.lint("update t set a = 1, b = null") == [] and sqltext.lint("delete from t where a = null") == ["nullCompare"]
