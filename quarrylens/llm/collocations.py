@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import scratch, table, text_groups
 
 #: Bytes of a language's texts that make a part; a longer text is a part alone.
-PART_BYTES = 6 << 20
+PART_BYTES = 3 << 20
 #: Ids a tile spans each way; tiles each way that may be dense; cells of a part in a tile below which it stays sparse.
 TILE, DENSE, SPARSE = 1 << 9, 4, 1 << 12
 #: Sparse cells held before they are sorted, and distinct ones before they are handed on.
