@@ -1,12 +1,15 @@
 """Operator 9, HTML extraction by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block element; lines of page furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles, as their markup says) are no lines. A line's mass is its text
-outside of links, none if that is less than half of it; where a page marks its article, lines outside have none, and
-those inside SURGE more. Masses are summed over sliding windows of WINDOW lines. The text surges where a window reaches
-SURGE (or LIGHT of the page's fullest window, if that is less), and dives where a whole window is empty. Kept are all
-lines from the dive before the first surge to the dive after the last one (of a marked article, its lines). The added
-mass makes every line of a marked article a surge, so there the marks decide and the windows only confirm them.
+Markup is stripped into lines, one for each block element. What is never text is left out at once: scripts, styles, menus,
+footers, asides, controls, hidden parts. Elements that only their name, or being a form or header, makes furniture
+(adverts, cookies, sidebars, reader comments) lower their lines' mass to nothing, unless they hold the page: if no
+text would surge outside and it has half of the text, or it has HOLDS of it (reader comments: only the former), it is no furniture.
+
+A line's mass is its text outside of links, none if that is less than half of it. Masses are summed over sliding windows of
+WINDOW lines. The text surges where a window reaches SURGE (or LIGHT of the page's fullest window, if that is less), and
+dives where a whole window is empty. Kept are all lines from the dive before the first surge to the dive after the last
+one. Marks of an article (its tag or role, or a name that holds half of the mass) weigh: the lines inside weigh SURGE more
+and those outside nothing, so there furniture is what is furniture within the article.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by an empty
 line. Results for odd input: null or empty html gives an empty text, as do pages without any article; broken markup
@@ -32,6 +35,8 @@ WINDOW = 3
 SURGE = 80
 #: A page whose fullest window is small has its surges at this share of it.
 LIGHT = 0.25
+#: The share of the page's text from which a named element is no furniture.
+HOLDS = 0.75
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
@@ -44,84 +49,94 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-FURNITURE = frozenset("nav footer aside form head script style noscript template svg math button select textarea title iframe object canvas dialog menu noembed noframes xmp".split())
-#: Names of furniture in class and id: as a whole token, or as a part of one between hyphens and underscores.
-FURNITURE_PARTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos banner banners cookie cookies consent gdpr popup modal newsletter subscribe subscription signup "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs toolbar pagination pager sidebar sidebars widget widgets footer footers masthead comment comments commentlist disqus".split()
+FURNITURE = frozenset("nav footer aside head script style noscript template svg math button select textarea title iframe object canvas dialog menu noembed noframes xmp".split())
+#: Names of furniture in class and id, of reader comments, what else may stand beside them in a token, and what turns them round.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner banners cookie cookies consent gdpr popup modal newsletter subscribe subscription signup "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs toolbar pagination pager sidebar sidebars widget widgets footer footers masthead notice notices alert alerts overlay login search "
+    "related recommended share sharing social header copyright legal disclaimer pageheader siteheader".split()
 )
-FURNITURE_TOKENS = FURNITURE_PARTS | frozenset(
-    "promotion notice notices alert alerts overlay login search side rail related recommended share sharing social foot header page-header pageheader site-header siteheader copyright legal disclaimer "
-    "respond reply replies discussion site-notice social-share".split()
+TALK = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+ALONE = frozenset("side rail foot".split())
+BESIDE = frozenset(
+    "area bar block box button buttons container form icons inner item items link links list panel posts articles stories top bottom left right wrap wrapper site page main global primary secondary "
+    "section user reader post media slot unit sticky fixed".split()
 )
-#: What may follow such a name in a token.
-HOLDERS = frozenset("area bar block box button buttons container form icons inner item items link links list panel posts articles stories top bottom left right wrap wrapper".split())
+TURNED = frozenset("has have no not with without hide show js is".split())
 QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[-_]?(?:body|content|text))?(?=$|\s)", re.I)
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _named_as_furniture(names: str) -> bool:
+def _named(names: str) -> str:
+    """What a list of names makes of an element: 'talk', 'soft' (other furniture) or ''. Each part of a token must be known: a token says nothing if any part is another word."""
+    kind = ""
     for token in names.lower().split():
-        token = token.rstrip("0123456789-_")
-        first, *more = re.split("[-_]+", token)
-        if token in FURNITURE_TOKENS or not FURNITURE_PARTS.isdisjoint([first, *more]) or first in FURNITURE_TOKENS and HOLDERS.issuperset(more):
-            return True
-    return False
+        parts = set(re.split("[-_]+", token.strip("0123456789-_")))
+        if parts & TURNED or not (parts <= NAMES | TALK | BESIDE or parts <= ALONE):
+            continue
+        if parts & TALK:
+            return "talk"
+        if parts & NAMES or parts <= ALONE:
+            kind = "soft"
+    return kind
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> str:
-    """What an element is: 'furniture', 'main' or ''."""
-    if tag in FURNITURE or tag == "header" and not in_article:
-        return "furniture"
+    """What an element is: 'hard' furniture, which is never text; 'soft' or 'talk', which is none unless it holds the page; 'main', 'named' (an article by its name) or ''."""
+    if tag in FURNITURE:
+        return "hard"
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     role = found.get("role", "").lower()
     if role in ROLES or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("aria-hidden") == "true":
-        return "furniture"
+        return "hard"
     if attributes and HIDDEN.search(QUOTED.sub('""', attributes)):
-        return "furniture"
+        return "hard"
     if tag == "article" or tag == "main" or role in ("main", "article"):
         return "main"
-    for name in (found.get("class", ""), found.get("id", "")):
-        if name and tag not in ("html", "body"):
-            if _named_as_furniture(name):
-                return "furniture"
-            if MAIN_NAMES.search(name):
-                return "main"
+    if tag == "form" or role == "form" or tag == "header" and not in_article:
+        return "soft"
+    if tag not in ("html", "body"):
+        names = f"{found.get('class', '')} {found.get('id', '')}"
+        return _named(names) or ("named" if MAIN_NAMES.search(names) else "")
     return ""
 
 
-def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of a page, and for each whether it is furniture, how deep in a marked article it is, and its characters in links."""
+def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, list[list]]:
+    """The lines of a page outside of hard furniture, for each how deep it is in an article by tag and by name and its
+    characters in links, and the soft furniture as [first line, line after, kind]."""
     lines: list[str] = []
-    skipped: list[bool] = []
-    marked: list[int] = []
+    marked: list[tuple[int, int]] = []
     linked: list[int] = []
+    soft: list[list] = []
+    opened: list[list] = []  # those that are open
     stack: list[tuple[str, str]] = []
     is_open: Counter[str] = Counter()  # how often each tag is on the stack
-    furniture = main = article = links = 0
+    furniture = main = named = article = links = 0
     now: list[str] = []
     now_links = 0
 
     def end_line() -> None:
         nonlocal now, now_links
         text = " ".join(unescape("".join(now)).split())
-        if text:
+        if text and not furniture:
             lines.append(text)
-            skipped.append(furniture > 0)
-            marked.append(main)
+            marked.append((main, named))
             linked.append(now_links)
         now, now_links = [], 0
 
     def close(k: int) -> None:
         """Close the open elements from the k-th on."""
-        nonlocal furniture, main, article, links
+        nonlocal furniture, main, named, article, links
         for tag, kind in reversed(stack[k:]):
             is_open[tag] -= 1
-            furniture -= kind == "furniture"
+            furniture -= kind == "hard"
             main -= kind == "main"
+            named -= kind == "named"
+            if kind in ("soft", "talk"):
+                opened.pop()[1] = len(lines)
             article -= tag == "article"
             links -= tag == "a"
         del stack[k:]
@@ -180,12 +195,17 @@ def strip(html: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
             at = n if end is None else end.start()
         stack.append((tag, kind))
         is_open[tag] += 1
-        furniture += kind == "furniture"
+        furniture += kind == "hard"
         main += kind == "main"
+        named += kind == "named"
+        if kind in ("soft", "talk"):
+            opened.append([len(lines), -1, kind])
+            soft.append(opened[-1])
         article += tag == "article"
         links += tag == "a"
     end_line()
-    return lines, np.array(skipped, bool), np.array(marked, np.int64), np.array(linked, np.int64)
+    close(0)
+    return lines, np.array(marked, np.int64).reshape(-1, 2), np.array(linked, np.int64), soft
 
 
 def window_sums(mass: np.ndarray) -> np.ndarray:
@@ -194,17 +214,35 @@ def window_sums(mass: np.ndarray) -> np.ndarray:
     return total[WINDOW:] - total[: len(mass)]
 
 
+def furniture_lines(mass: np.ndarray, soft: list[list]) -> np.ndarray:
+    """Which lines soft furniture takes. An element that holds the page is released, the outermost first; those within it stay."""
+    sums = np.concatenate([[0], np.cumsum(mass)])
+    held = [(a, b, kind) for a, b, kind in soft if b > a]
+    lines = lambda: np.cumsum(np.bincount([a for a, _, _ in held], minlength=len(mass) + 1) - np.bincount([b for _, b, _ in held], minlength=len(mass) + 1))[:-1] > 0
+    held = [(a, b, kind) for a, b, kind in held if kind == "talk" or sums[b] - sums[a] < HOLDS * sums[-1]]
+    while held:
+        taken = lines()
+        outside = window_sums(np.where(taken, 0, mass))
+        most = max(sums[b] - sums[a] for a, b, _ in held)
+        if outside.max() >= SURGE or 2 * most < sums[-1] or not most:
+            return taken
+        held = [(a, b, kind) for a, b, kind in held if sums[b] - sums[a] < most]
+    return np.zeros(len(mass), bool)
+
+
 def main_text(html: str | None) -> str:
-    lines, skipped, marked, linked = strip(html or "")
-    lines = [line for line, furniture in zip(lines, skipped.tolist()) if not furniture]
+    lines, marked, linked, soft = strip(html or "")
     if not lines:
         return ""
-    length, kept, linked = np.fromiter(map(len, lines), np.int64, len(lines)), marked[~skipped] > 0, linked[~skipped]
-    if kept.any():
-        mass = np.where(kept, length + SURGE, 0)
-    else:
-        kept = np.ones(len(lines), bool)
-        mass = np.where(2 * linked <= length, length - linked, 0)
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    mass = np.where(2 * linked <= length, length - linked, 0)
+    inside = np.ones(len(lines), bool)
+    for by, least in ((marked[:, 0] > 0, 1), (marked[:, 1] > 0, max(1, mass.sum() / 2))):
+        if mass[by].sum() >= least:
+            inside, mass = by, np.where(by, length + SURGE, 0)
+            break
+    kept = inside & ~furniture_lines(mass, soft)
+    mass = np.where(kept, mass, 0)
     reach = window_sums(mass)
     surges = np.flatnonzero((mass > 0) & (reach >= max(1, min(SURGE, LIGHT * reach.max()))))
     if not len(surges):
