@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def _row(section: str, what: Column, text: Column, tag: Column | None = None) ->
 def alter_plan(old: DataFrame, new: DataFrame, old_keys: DataFrame, new_keys: DataFrame, dialect: str = "postgresql") -> DataFrame:
     """section, table_name, name, text, tag of the statements that make `new` of `old`; names compare without case, views are left out before.
 
-    Columns: table_name, name, native_type, length, scale, nullable, default_value. Keys: table_name, name, kind (UQ, IX,
-    FK), columns, ref_table, ref_columns; one that differs is dropped and added again. Tags: `delete` (what loses data;
-    its text is a comment), `data` (what fails or changes values where rows stand against it), `rename` (a table both
-    loses and gains columns)."""
+    Columns: table_name, name, native_type, length, scale, nullable, default_value. Keys: table_name, name, kind (PK, UQ, IX,
+    FK, CK), columns, ref_table, ref_columns and, for CK, condition; one that differs is dropped and added again. Tags: `delete`
+    (what loses data; its text is a comment), `data` (what fails or changes values where rows stand against it), `hand` (what no
+    statement can do without a name that is not known; a comment), `rename` (a table both loses and gains columns)."""
     name = lambda c: quoted(F.col(c), dialect)
     fields = ("name", "native_type", "length", "scale", "nullable", "default_value")
     side = lambda df, p: df.select(F.upper("table_name").alias("t"), F.upper("name").alias("c"), F.col("table_name").alias(f"{p}table"), *(F.col(f).alias(f"{p}{f}") for f in fields))
@@ -47,10 +49,7 @@ def alter_plan(old: DataFrame, new: DataFrame, old_keys: DataFrame, new_keys: Da
     risky = F.coalesce(shrinks, F.lit(False)) | ~family("o_").eqNullSafe(family("n_"))
     kept = F.col("o_name").isNotNull() & F.col("n_name").isNotNull()
     differ = lambda *fs: ~_same(fs)
-    column = F.concat(table, F.lit(" ALTER COLUMN "), name("n_name"))
-    retyped = F.when(kept & differ("native_type", "length", "scale"), _row("changed tables", F.col("n_name"), F.concat(column, F.lit(" TYPE "), _type("n_")), F.when(risky, "data").otherwise("")))
-    redefault = F.when(kept & differ("default_value"), _row("changed tables", F.col("n_name"), F.concat(column, F.when(F.col("n_default_value").isNull(), " DROP DEFAULT").otherwise(F.concat(F.lit(" SET"), default)))))
-    renull = F.when(kept & differ("nullable"), _row("changed tables", F.col("n_name"), F.concat(column, F.when(F.col("n_nullable"), " DROP NOT NULL").otherwise(" SET NOT NULL")), F.when(F.col("n_nullable"), "").otherwise("data")))
+    retyped, redefault, renull = _column_changes(dialect, table, name("n_name"), defined, kept, differ, risky)
     changed = both.where("before is not null and after is not null")
     rows = changed.select("t", F.explode(F.array_compact(F.array(added, retyped, redefault, renull, dropped))).alias("r")).select("t", "r.*")
     moved = changed.groupBy("t").agg(F.max(F.col("o_name").isNull()).alias("gains"), F.max(F.col("n_name").isNull()).alias("loses")).where("gains and loses")
@@ -62,6 +61,37 @@ def alter_plan(old: DataFrame, new: DataFrame, old_keys: DataFrame, new_keys: Da
     return out.select(F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section")).alias("section"), F.col("t").alias("table_name"), "name", "text", "tag")
 
 
+def _column_changes(dialect: str, table: Column, column: Column, defined: Column, kept: Column, differ, risky: Column) -> tuple[Column, Column, Column]:
+    """The statements for a changed type, default and nullability, as each dialect has them; a column may need one, two or three.
+
+    MariaDB and MySQL define the whole column anew, SQL Server its type with its nullability; its defaults are constraints, of
+    which one that stands can only be dropped by the name that the server gave it, so that is left to a hand (a comment)."""
+    name, type_, default = F.col("n_name"), _type("n_"), F.col("n_default_value")
+    typed, nulled, defaulted = kept & differ("native_type", "length", "scale"), kept & differ("nullable"), kept & differ("default_value")
+    row = lambda when, text, tag=None: F.when(when, _row("changed tables", name, F.concat(table, *text), tag))
+    tightens = nulled & ~F.col("n_nullable")
+    data = F.when(typed & risky | tightens, "data").otherwise("")
+    null, set_default = F.when(F.col("n_nullable"), " NULL").otherwise(" NOT NULL"), F.concat(F.lit(" SET DEFAULT "), default)
+    if dialect in ("mariadb", "mysql"):
+        whole = typed | nulled
+        return row(whole, (F.lit(" MODIFY COLUMN "), defined), data), row(defaulted & ~whole, (F.lit(" ALTER COLUMN "), column, F.coalesce(set_default, F.lit(" DROP DEFAULT")))), F.lit(None).cast("struct<section:int,name:string,text:string,tag:string>")
+    if dialect == "mssql":
+        fresh = F.concat(F.lit(" ADD CONSTRAINT "), quoted(F.concat(F.lit("DF_"), F.coalesce("before", "after"), F.lit("_"), name), dialect), F.lit(" DEFAULT "), default, F.lit(" FOR "), column)
+        by_hand = F.concat(F.lit("-- the default of "), column, F.lit(" is a constraint: DROP it by its name"), F.coalesce(F.concat(F.lit(", then ADD CONSTRAINT ... DEFAULT "), default, F.lit(" FOR "), column), F.lit("")))
+        plain = F.col("o_default_value").isNull() & default.isNotNull()
+        default_row = F.when(defaulted, _row("changed tables", name, F.when(plain, F.concat(table, fresh)).otherwise(by_hand), F.when(plain, "").otherwise("hand")))
+        return row(typed | nulled, (F.lit(" ALTER COLUMN "), column, F.lit(" "), type_, null), data), default_row, F.lit(None).cast("struct<section:int,name:string,text:string,tag:string>")
+    if dialect in ("oracle", "tibero"):
+        modify = lambda what: (F.lit(" MODIFY ("), column, *what, F.lit(")"))
+        return row(typed, modify((F.lit(" "), type_)), F.when(risky, "data").otherwise("")), row(defaulted, modify((F.lit(" DEFAULT "), F.coalesce(default, F.lit("NULL"))))), row(nulled, modify((null,)), F.when(tightens, "data").otherwise(""))
+    alter = lambda *what: (F.lit(" ALTER COLUMN "), column, *what)
+    return (
+        row(typed, alter(F.lit(" TYPE "), type_), F.when(risky, "data").otherwise("")),
+        row(defaulted, alter(F.coalesce(set_default, F.lit(" DROP DEFAULT")))),
+        row(nulled, alter(F.when(F.col("n_nullable"), " DROP NOT NULL").otherwise(" SET NOT NULL")), F.when(tightens, "data").otherwise("")),
+    )
+
+
 def _same(fields: tuple[str, ...]) -> Column:
     out = F.lit(True)
     for f in fields:
@@ -70,20 +100,42 @@ def _same(fields: tuple[str, ...]) -> Column:
 
 
 def _key_rows(old: DataFrame, new: DataFrame, tables: DataFrame, dialect: str) -> DataFrame:
-    """Keys that only one side has, or that differ: dropped by name and added again. Keys of dropped tables go with them."""
+    """Keys that only one side has, or that differ: dropped by name and added again. Keys of dropped tables go with them.
+
+    Primary keys are matched by their columns alone, CHECK conditions (column `condition`, if there is one) by their words; a
+    key without a name can only be dropped by hand."""
+    mysql, squeezed = dialect in ("mariadb", "mysql"), F.trim(F.regexp_replace("condition", r"\s+", " "))
     upper = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.upper(x))
-    shaped = lambda df: df.select(F.upper("table_name").alias("t"), F.upper("name").alias("k"), "name", "kind", upper(F.col("columns")).alias("columns"), F.upper("ref_table").alias("ref_table"), upper(F.col("ref_columns")).alias("ref_columns"))
-    on = ["t", "k", "kind", "columns"]
+
+    def shaped(df: DataFrame) -> DataFrame:
+        df = df if "condition" in df.columns else df.withColumn("condition", F.lit(None).cast("string"))
+        df = df.withColumns({"columns": upper(F.col("columns")), "ref_columns": upper(F.col("ref_columns")), "condition": F.when(F.col("kind") == "CK", squeezed)})
+        by = F.when(F.col("kind").isin("PK", "CK"), "").otherwise(F.upper("name"))
+        return df.select(F.upper("table_name").alias("t"), by.alias("k"), "name", "kind", "columns", F.upper("ref_table").alias("ref_table"), "ref_columns", "condition")
+
     a, b = shaped(old).join(tables.where("after is not null").select("t"), "t", "left_semi"), shaped(new)
-    match = lambda x, y: [*(x[c] == y[c] for c in on), x.ref_table.eqNullSafe(y.ref_table), x.ref_columns == y.ref_columns]
+    on = ["t", "k", "kind", "columns", "ref_table", "ref_columns", "condition"]
+    match = lambda x, y: reduce(lambda p, q: p & q, [x[c].eqNullSafe(y[c]) for c in on])
     lost, gained = a.join(b, match(a, b), "left_anti"), b.join(a, match(b, a), "left_anti")
-    name, table = quoted(F.col("name"), dialect), quoted(F.col("t"), dialect)
+    name, table = quoted(F.col("name"), dialect), F.concat(F.lit("ALTER TABLE "), quoted(F.col("t"), dialect))
     listed = lambda c: F.array_join(F.transform(c, lambda x: quoted(x, dialect)), ", ")
-    is_fk, is_index = F.col("kind") == "FK", F.col("kind") == "IX"
-    drop = F.when(is_index, F.concat(F.lit("DROP INDEX "), name)).otherwise(F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP CONSTRAINT "), name))
-    reference = F.concat(F.lit(" FOREIGN KEY ("), listed("columns"), F.lit(") REFERENCES "), quoted(F.col("ref_table"), dialect), F.lit(" ("), listed("ref_columns"), F.lit(")"))
-    constraint = F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD CONSTRAINT "), name, F.when(is_fk, reference).otherwise(F.concat(F.lit(" UNIQUE ("), listed("columns"), F.lit(")"))))
-    make = F.when(is_index, F.concat(F.lit("CREATE INDEX "), name, F.lit(" ON "), table, F.lit(" ("), listed("columns"), F.lit(")"))).otherwise(constraint)
-    section = lambda fk, other: F.when(is_fk, SECTIONS.index(fk) + 1).otherwise(SECTIONS.index(other) + 1).alias("section")
-    tag = F.lit("").alias("tag")
-    return lost.select("t", section("drop foreign keys", "drop indexes"), "name", drop.alias("text"), tag).union(gained.select("t", section("add foreign keys", "add indexes"), "name", make.alias("text"), tag))
+    kind = F.col("kind")
+    on_table = F.concat(F.lit(" ON "), quoted(F.col("t"), dialect)) if mysql or dialect == "mssql" else F.lit("")
+    by_name = F.concat(table, F.lit(" DROP CONSTRAINT "), name)
+    dropped = F.when(kind == "IX", F.concat(F.lit("DROP INDEX "), name, on_table))
+    if mysql:
+        dropped = dropped.when(kind == "PK", F.concat(table, F.lit(" DROP PRIMARY KEY"))).when(kind == "UQ", F.concat(table, F.lit(" DROP INDEX "), name)).when(kind == "FK", F.concat(table, F.lit(" DROP FOREIGN KEY "), name))
+    dropped = dropped.otherwise(by_name)
+    shape = F.concat(kind, F.lit("("), F.coalesce("condition", F.array_join("columns", ",")), F.lit(")"))
+    unnamed = F.col("name").isNull() & ~((kind == "PK") & F.lit(mysql))
+    drop = F.when(unnamed, F.concat(F.lit("-- the name of "), shape, F.lit(" on "), quoted(F.col("t"), dialect), F.lit(" is not known: DROP it by hand"))).otherwise(dropped)
+    named = quoted(F.coalesce("name", F.concat(kind, F.lit("_"), "t")), dialect)
+    body = F.when(kind == "FK", F.concat(F.lit("FOREIGN KEY ("), listed("columns"), F.lit(") REFERENCES "), quoted(F.col("ref_table"), dialect), F.lit(" ("), listed("ref_columns"), F.lit(")")))
+    body = body.when(kind == "CK", F.concat(F.lit("CHECK ("), "condition", F.lit(")"))).when(kind == "PK", F.concat(F.lit("PRIMARY KEY ("), listed("columns"), F.lit(")"))).otherwise(F.concat(F.lit("UNIQUE ("), listed("columns"), F.lit(")")))
+    made = F.concat(table, F.lit(" ADD "), F.when((kind == "PK") & F.lit(mysql), "").otherwise(F.concat(F.lit("CONSTRAINT "), named, F.lit(" "))), body)
+    make = F.when(kind == "IX", F.concat(F.lit("CREATE INDEX "), named, F.lit(" ON "), quoted(F.col("t"), dialect), F.lit(" ("), listed("columns"), F.lit(")"))).otherwise(made)
+    place = lambda x: SECTIONS.index(x) + 1
+    section = lambda fk, other: F.when(kind == "FK", place(fk)).when(kind.isin("PK", "CK"), place("changed tables")).otherwise(place(other)).alias("section")
+    shown = F.coalesce("name", kind).alias("name")
+    gone = lost.select("t", section("drop foreign keys", "drop indexes"), shown, drop.alias("text"), F.when(unnamed, "hand").otherwise("").alias("tag"))
+    return gone.union(gained.select("t", section("add foreign keys", "add indexes"), shown, make.alias("text"), F.lit("").alias("tag")))
