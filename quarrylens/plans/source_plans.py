@@ -1,8 +1,11 @@
-"""Scripts and mappers as rows, over literal files: the data hold none."""
+"""Scripts and mappers as rows: over files made of the parts, and over literal ones."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarrylens.plans.metadata_plans import values
+from quarrylens.session import table
 from quarrylens.sources import ddl, mappers
 
 SCRIPT = """-- users
@@ -54,7 +57,27 @@ def files(s):
     return s.createDataFrame(MAPPERS, "path string, text string")
 
 
+def part_mappers(s, d):
+    """A mapper file of each brand, with a statement of each of its parts: fragments of its own, of a shared file, missing ones, and one in itself."""
+    size, name = F.col("p_size"), F.concat(F.lit("q"), "p_partkey")
+    tail = F.when(size % 9 == 0, '<include refid="nowhere"/>').when(size % 9 == 1, '<include refid="shared.deep"/>').when(size % 9 == 2, '<include refid="ring"/>').when(size % 9 == 3, '<if test="x">WHERE b = #{b}</if>').otherwise("")
+    body = F.concat(F.lit('<select id="'), name, F.lit('">SELECT <include refid="cols"/> FROM t'), size, F.lit(" "), tail, F.lit("</select>\n"))
+    head = F.concat(F.lit('<mapper namespace="'), F.lower(F.translate("p_brand", "#", "_")), F.lit('">\n<sql id="cols">a, c</sql>\n<sql id="ring">[<include refid="ring"/>]</sql>\n'))
+    files = table(s, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("x"))))["x"], "").alias("x"))
+    shared = s.createDataFrame([("z.xml", '<mapper namespace="shared"><sql id="deep">WHERE <include refid="shared.key"/> = 1</sql><sql id="key">k</sql><sql id="cols">not these</sql></mapper>')], "path string, text string")
+    return files.select(F.concat("p_brand", F.lit(".xml")).alias("path"), F.concat(head, "x", F.lit("</mapper>")).alias("text")).union(shared)
+
+
+PART_STATEMENTS = "SELECT p_brand || '.xml' AS path, lower(translate(p_brand, '#', '_')) || '.q' || p_partkey AS ns_id, CAST(3 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line, p_size % 9 AS k, p_size, lower(translate(p_brand, '#', '_')) AS ns FROM part"
 QUERIES = {
+    "part_statements": (
+        lambda s, d: mappers.statements(part_mappers(s, d)),
+        f"""SELECT path, ns_id, 'select' AS tag, k = 3 AS dynamic, line, 'SELECT a, c FROM t' || p_size || CASE k WHEN 1 THEN ' WHERE k = 1' WHEN 2 THEN ' [ [ [ [ [ [ ] ] ] ] ] ]' WHEN 3 THEN ' WHERE b = #{{b}}' ELSE '' END AS sql FROM ({PART_STATEMENTS})""",
+    ),
+    "include_notes": (
+        lambda s, d: mappers.resolved(part_mappers(s, d))[1],
+        f"SELECT path, ns_id, line, CASE k WHEN 0 THEN 'missing' ELSE 'depth' END AS kind, ns || CASE k WHEN 0 THEN '.nowhere' ELSE '.ring' END AS ref FROM ({PART_STATEMENTS}) WHERE k IN (0, 2)",
+    ),
     "ddl_columns": (
         lambda s, d: script(s).where("kind not in ('PK', 'UQ', 'FK', 'IX')").select("kind", "table_name", "name", "ordinal", "native_type", "length", "scale", "nullable", "default_value", "comment"),
         values(ROWS, "kind, table_name, name, ordinal, native_type, length, scale, nullable, default_value, comment"),
