@@ -113,6 +113,14 @@ def card_numbers(corpus: DataFrame) -> DataFrame:
     return runs.where(F.expr("luhn_check(number)")).distinct()
 
 
+def card_findings(corpus: DataFrame) -> DataFrame:
+    """path, line, number, excerpt: every place of a card number, with its line of 160 characters at most in which all digits but the last four of the number are stars."""
+    lines = corpus.where(F.col("text").rlike("[3-6][0-9]{15}")).select("path", F.posexplode(F.split("text", "\n")).alias("at", "content"))
+    each = lines.select("path", (F.col("at") + 1).alias("line"), "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([3-6][0-9]{15})\b"), F.lit(1)))).alias("number"))
+    hidden = F.replace("content", F.col("number"), F.concat(F.lit("*" * 12), F.right("number", F.lit(4))))
+    return each.where(F.expr("luhn_check(number)")).select("path", "line", "number", F.substring(F.trim(hidden), 1, 160).alias("excerpt"))
+
+
 def markers(corpus: DataFrame) -> DataFrame:
     """path, at, number, line, ids of every marker: where it stands, its number on that line, the line it is for (null after the last line) and its rules (none: all)."""
     text = F.split("text", "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import digest12, line_count
-from quarrylens.operators import duplicates, scan, sqltext, textdiff
+from quarrylens.operators import comments, duplicates, scan, sqltext, textdiff
 from quarrylens.plans.metadata_plans import values
 from quarrylens.session import table
 from quarrylens.sources import page_links
@@ -62,6 +62,16 @@ RULE_SQL = [(r.id, r.group, r.severity, r.pattern.replace("'", "''")) for r in s
 EXCERPT = "left(trim(content, ' '), 160)"
 
 
+def views(s, d):
+    """Each page's address in JSP texts: a link below the application's path, a form, a script by an unknown base, one in a comment."""
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*", ""), r"(\.html|/)$", "")
+    text = F.concat(F.lit('<a href="${pageContext.request.contextPath}'), path, F.lit(".do?x=1\">\n<%-- <a href='/hidden.do'> --%> <form action='"), path, F.lit("/save.do'>\n"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("location.href = '${base}"), path, F.lit(".do';"))).otherwise("var u = 'none.do.x';"))
+    return table(s, d, "pages").select("page_id", text.alias("text"))
+
+
+VIEW_PATHS = r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '(\.html|/)$', '') AS path FROM pages"
+
+
 def sqls(s, rows=SQLS):
     return s.createDataFrame(rows, "id int, sql string")
 
@@ -113,6 +123,25 @@ QUERIES = {
         g AS (SELECT path, number, i, CAST(substr(number, i, 1) AS INTEGER) AS x FROM n, range(1, 17) t(i))
         SELECT path, number FROM g GROUP BY ALL HAVING sum(CASE WHEN i % 2 = 0 THEN x WHEN x * 2 > 9 THEN x * 2 - 9 ELSE x * 2 END) % 10 = 0""",
     ),
+    "card_findings": (
+        lambda s, d: scan.card_findings(corpus(s, d)),
+        f"""WITH n AS (SELECT DISTINCT path, CAST(line AS INTEGER) AS line, content, unnest(regexp_extract_all(content, '\\b([3-6][0-9]{{15}})\\b', 1)) AS number FROM ({LINES})),
+        g AS (SELECT *, CAST(substr(number, i, 1) AS INTEGER) AS x FROM n, range(1, 17) t(i))
+        SELECT path, line, number, left(trim(replace(content, number, repeat('*', 12) || right(number, 4)), ' '), 160) AS excerpt FROM g GROUP BY ALL HAVING sum(CASE WHEN i % 2 = 0 THEN x WHEN x * 2 > 9 THEN x * 2 - 9 ELSE x * 2 END) % 10 = 0""".replace("SELECT *, CAST(substr", "SELECT path, line, content, number, i, CAST(substr").replace("FROM g GROUP BY ALL HAVING", "FROM g GROUP BY path, line, content, number HAVING"),
+    ),
+    "view_links": (
+        lambda s, d: page_links.view_links(views(s, d), "page_id", "text")[0],
+        f"SELECT page_id, path || '.do' AS url, 'link' AS kind FROM ({VIEW_PATHS}) UNION ALL SELECT page_id, path || '/save.do', 'form' FROM ({VIEW_PATHS})",
+    ),
+    "view_links_unknown": (
+        lambda s, d: page_links.view_links(views(s, d), "page_id", "text")[1],
+        f"SELECT page_id, 3 AS line, '${{}}' || path || '.do' AS shape FROM ({VIEW_PATHS}) WHERE page_id % 3 = 0",
+    ),
+    "html_comments": (
+        lambda s, d: comments.without_comments(table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"), F.lit("html").alias("lang"))).select("path", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n")),
+        r"""WITH c AS (SELECT CAST(page_id AS VARCHAR) AS path, html, list_distinct(regexp_extract_all(html, '(?s)<!--.*?(?:-->|\z)')) AS found FROM pages)
+        SELECT path, sha256(t) AS digest, length(t) AS n FROM (SELECT path, list_reduce(found, lambda t, x: replace(t, x, regexp_replace(x, '[^\n]', ' ', 'g')), html) AS t FROM c)""",
+    ),
     "suppressed": (
         lambda s, d: scan.suppressed(scan.line_rules(s.createDataFrame(MARKED, "path string, text string")), s.createDataFrame(MARKED, "path string, text string")).select("path", "line", "rule", "suppressed"),
         "SELECT path, CAST(line AS INTEGER) AS line, rule, supp = 1 AS suppressed FROM (" + values([("a", 2, "todo", 0), ("a", 3, "secret", 1), ("a", 4, "todo", 0), ("a", 5, "todo", 1), ("b", 1, "todo", 1), ("b", 2, "todo", 0), ("e", 1, "todo", 1), ("e", 3, "todo", 1), ("e", 4, "todo", 0), ("e", 5, "todo", 0), ("e", 6, "todo", 0), ("e", 7, "todo", 0), ("f", 1, "todo", 1)], "path, line, rule, supp") + ")",

@@ -9,8 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What stands before a link decides its kind; the nearest cue wins.
-CUES = (("form", r"(?i)<form|action\s*="), ("popup", r"(?i)window\.open|popup"), ("ajax", r"(?i)\$\.ajax|\$\.post|\$\.get|fetch\("), ("include", r"(?i)<jsp:include|<c:import|include\s"), ("script", r"(?i)location|submit"), ("link", r"(?i)href\s*=|<a\s"))
+from quarrylens.operators.comments import blanked
+
+#: Fixed cues before a link, and the kinds they mean; the last one counts.
+CUES = (
+    ("other", r"c:url\s+var"), ("popup", r"window\.open\s*\(|\.open\("), ("form", r"\baction\s*="), ("script", r"location\.(?:href|replace)|location\s*="), ("link", r"\bhref\s*="),
+    ("include", r"(?i:c:import|jsp:include|<iframe\b)"), ("ajax", r"url\s*:|\$\.(?:get|post|ajax)\(|\.load\(|\bajax\b"),
+)
+CUE = re.compile("|".join(f"(?P<{kind}>{cue})" for kind, cue in CUES))
+#: Fixed: the address of the application itself, which is cut off an address.
+CONTEXT_PATH = "${pageContext.request.contextPath}"
+ACTION = re.compile(r"(?<![\w$./-])(?:\$\{[^}]*\}|[\w$./-])+?\.do(?![\w.])", re.A)
 
 
 def hrefs(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -19,10 +28,38 @@ def hrefs(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def link_kind(text: str, start: int) -> str:
-    """The kind of the nearest cue in the 200 characters before a link."""
-    before = text[max(0, start - 200) : start]
-    found = [(m.start(), kind) for kind, cue in CUES for m in re.finditer(cue, before)]
-    return max(found)[1] if found else "other"
+    """The kind of the last cue in the 200 characters before a link."""
+    kind = "other"
+    for m in CUE.finditer(text, max(0, start - 200), start):
+        kind = m.lastgroup
+    return kind
+
+
+def view_links(pages: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Links (key, url, kind) to `.do` addresses of JSP texts, each once, and addresses that are not known (key, line, shape).
+
+    Comments do not count. An address begins with `/` or an expression; the application's own path before it is cut off. One
+    that still holds an expression, or does not begin with `/` then, is not known: its shape has `${}` for each expression."""
+    kind_of = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, raw in enumerate(batch.column(1)):
+                body = blanked(raw.as_py(), "jsp") or ""
+                for m in ACTION.finditer(body):
+                    if not m[0].startswith(("/", "${")):
+                        continue
+                    url = m[0].removeprefix(CONTEXT_PATH)
+                    if url.startswith("/") and "${" not in url:
+                        rows.append((i, url, link_kind(body, m.start()), None))
+                    else:
+                        rows.append((i, re.sub(r"\$\{[^}]*\}", "${}", m[0])[:300], None, body.count("\n", 0, m.start()) + 1))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32())], ["key", "url", "kind", "line"])
+
+    found = pages.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind_of}, url string, kind string, line int").withColumnRenamed("key", key)
+    return found.where("line is null").select(key, "url", "kind").distinct(), found.where("line is not null").select(key, "line", F.col("url").alias("shape")).distinct()
 
 
 def action_links(pages: DataFrame, key: str, text: str) -> DataFrame:

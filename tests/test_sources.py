@@ -73,3 +73,25 @@ def test_stream_counts(spark, tmp_path):
         assert spark.table("daily").count() == 2
     finally:
         q.stop()
+
+
+def test_view_links(spark):
+    texts = [
+        (1, "<a href='/a/b.do'> location.href='/c.do?x' $.post('${ctx}/d.do', {url: '/e.do'}) <c:import url='${pageContext.request.contextPath}/f.do'/>"),
+        (2, "<%-- href='/no.do' --%>\n<!-- /no.do -->\nx = 'relative.do' + '/done.done' + '/z.do_x' <iframe src=\"/g.do\"> window.open('/h.do') <c:url var='u' value='/i.do'/>"),
+        (3, None), (4, ""), (5, "<a href='/a.do'><a href='/a.do'>\n<form action='/a.do'>\n'${x}${y}.do'"),
+    ]
+    links, unknown = page_links.view_links(spark.createDataFrame(texts, "id int, t string"), "id", "t")
+    assert sorted(map(tuple, links.collect())) == [(1, "/a/b.do", "link"), (1, "/c.do", "script"), (1, "/e.do", "ajax"), (1, "/f.do", "include"), (2, "/g.do", "include"), (2, "/h.do", "popup"), (2, "/i.do", "other"), (5, "/a.do", "form"), (5, "/a.do", "link")]
+    assert sorted(map(tuple, unknown.collect())) == [(1, 1, "${}/d.do"), (5, 3, "${}${}.do")]
+
+
+def test_fingerprint_changes_with_a_rule(spark):
+    from dataclasses import replace
+
+    from quarrylens.operators import scan
+
+    digest = lambda rules: spark.range(1).select(scan.fingerprint(rules)).first()[0]
+    rules = list(scan.RULES)
+    assert digest(rules) == digest(rules[::-1]) and len(digest(rules)) == 64
+    assert digest(rules) != digest([replace(rules[0], severity="other"), *rules[1:]]) != digest(rules[1:])
