@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.plans import alter_plans, catalog_plans, document_plans, graph_plans, history_plans, lineage_plans, metadata_plans, naming_plans, quality_plans, report_plans, rule_plans, sample_plans, source_plans, storage_plans, text_plans
+from quarrylens.plans import alter_plans, catalog_plans, document_plans, graph_plans, history_plans, lineage_plans, metadata_plans, naming_plans, parts_catalog, quality_plans, report_plans, rule_plans, sample_plans, source_plans, storage_plans, text_plans
 
-MODULES = (quality_plans, history_plans, lineage_plans, metadata_plans, naming_plans, text_plans, document_plans, catalog_plans, rule_plans, report_plans, source_plans, graph_plans, sample_plans, storage_plans, alter_plans)
+MODULES = (quality_plans, history_plans, lineage_plans, metadata_plans, naming_plans, text_plans, document_plans, catalog_plans, rule_plans, report_plans, source_plans, graph_plans, sample_plans, storage_plans, alter_plans, parts_catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
