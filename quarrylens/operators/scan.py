@@ -7,6 +7,8 @@ projection, so there is no join of lines with rules and no shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,39 @@ class Rule:
         return F.exists(F.regexp_extract_all(line, F.lit(self.pattern), F.lit(0)), lambda m: ~m.rlike(self.without))
 
 
+def needed_words(pattern: str) -> frozenset[str] | None:
+    """Texts in lower case of which at least one is in whatever a pattern matches, from its parse tree; None if it says nothing.
+
+    Of a sequence the part with the longest texts counts; alternatives need one each; what may be absent says nothing."""
+    try:
+        tree = _parser.parse(pattern)
+    except Exception:  # noqa: BLE001 a pattern that only Java knows has no words here
+        return None
+
+    def of(sequence) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, value in [*sequence, (None, None)]:
+            if op is _parser.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append(frozenset([run]))
+                run = ""
+            inner = None
+            if op is _parser.SUBPATTERN:
+                inner = of(value[3])
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and value[0] > 0:
+                inner = of(value[2])
+            elif op is _parser.BRANCH:
+                arms = [of(arm) for arm in value[1]]
+                inner = frozenset().union(*arms) if all(arms) else None
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
+
+    return of(tree)
+
+
 #: Example rules that data files can trigger; the rule texts are this engine's own.
 RULES = (
     Rule("todo", r"(?i)\b(todo|fixme|xxx)\b"),
@@ -62,11 +97,17 @@ def lines(corpus: DataFrame) -> DataFrame:
 def line_rules(corpus: DataFrame, rules=RULES) -> DataFrame:
     """path, line, rule, grp, severity, excerpt of every finding.
 
-    Every rule is first tried on the whole text (^ and $ at line ends); only texts that are hit are cut into lines, and a
-    line is only tried for the rules that hit its text."""
-    of_text = lambda r: r.fits(F.col("path")) & F.col("text").rlike(f"(?m){r.pattern}") & (F.col("text").rlike(r.when) if r.when else F.lit(True))
+    A text is only tried for the rules of whose needed words it has one, then as a whole (^ and $ at line ends); only texts
+    that are hit are cut into lines, and a line is only tried for the rules that hit its text."""
+
+    def of_text(r: Rule) -> Column:
+        words = needed_words(r.pattern)
+        has = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in sorted(words)]) if words else F.lit(True)
+        return r.fits(F.col("path")) & has & F.col("text").rlike(f"(?m){r.pattern}") & (F.col("text").rlike(r.when) if r.when else F.lit(True))
+
     hit = F.array_compact(F.array(*(F.when(of_text(r), r.id) for r in rules)))
-    each = corpus.select("path", "text", hit.alias("open")).where(F.size("open") > 0).select("path", "open", F.posexplode(F.split("text", "\n")).alias("at", "content"))
+    once = F.explode(F.array(F.struct("text", F.lower("text").alias("low")))).alias("t")  # a generator's output is made once, not for each use
+    each = corpus.select("path", once).select("path", "t.text", "t.low").select("path", "text", hit.alias("open")).where(F.size("open") > 0).select("path", "open", F.posexplode(F.split("text", "\n")).alias("at", "content"))
     found = F.array_compact(
         F.array(*(F.when(F.array_contains("open", r.id) & r.hits(F.col("content")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.group).alias("grp"), F.lit(r.severity).alias("severity"))) for r in rules))
     )
