@@ -12,7 +12,7 @@ Texts are encoded by the tokenizers library; as its BPE never crosses a pre-toke
 through the library's model once while it is in a worker's cache, and texts are put together from those by numpy.
 
 Results for odd input: null text counts as empty (its only id is the end id); null document ids come first;
-integer ids of any width are ordered as numbers, other ids as text; repeated rows are all written, in order of text; texts of any length are written whole; an empty table gives an
+integer ids of any width are ordered as numbers, other ids as text; repeated ids are all written, next to each other (by a hash of the text between partitions, by the text within one); texts of any length are written whole; an empty table gives an
 empty dataset. Columns beyond the id and the text are not read, so their names cannot clash.
 """
 
