@@ -68,7 +68,7 @@ def quoted(c: Column, dialect: str) -> Column:
         own = F.concat(F.lit("["), name, F.lit("]"))
     else:
         own = F.concat(F.lit('"'), (F.upper if dialect in ("oracle", "tibero") else F.lower)(name), F.lit('"'))
-    return F.when(is_identifier(c), F.when(F.upper(name).isin(*sorted(RESERVED)), own).otherwise(name))
+    return F.when(is_identifier(c), F.when(F.upper(name).rlike(f"^(?:{'|'.join(sorted(RESERVED))})$"), own).otherwise(name))
 
 
 def camel(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.names import java_type, quoted
+from quarrylens.session import scratch
 
 #: Fixed order of the plan's sections.
 SECTIONS = ("drop foreign keys", "drop indexes", "new tables", "changed tables", "add indexes", "add foreign keys", "drop tables")
@@ -34,22 +35,25 @@ def alter_plan(old: DataFrame, new: DataFrame, old_keys: DataFrame, new_keys: Da
     name = lambda c: quoted(F.col(c), dialect)
     fields = ("name", "native_type", "length", "scale", "nullable", "default_value")
     side = lambda df, p: df.select(F.upper("table_name").alias("t"), F.upper("name").alias("c"), F.col("table_name").alias(f"{p}table"), *(F.col(f).alias(f"{p}{f}") for f in fields))
-    both = side(old, "o_").join(side(new, "n_"), ["t", "c"], "full_outer")
+    both = scratch(old.sparkSession, side(old, "o_").join(side(new, "n_"), ["t", "c"], "full_outer"), "alter-columns")  # five kinds of statements read it
     tables = both.groupBy("t").agg(F.max("o_table").alias("before"), F.max("n_table").alias("after"))
-    both = both.join(tables, "t")
-    table = F.concat(F.lit("ALTER TABLE "), quoted(F.coalesce("before", "after"), dialect))
     default = F.when(F.col("n_default_value").isNotNull(), F.concat(F.lit(" DEFAULT "), F.col("n_default_value"))).otherwise("")
-    defined = F.concat(name("n_name"), F.lit(" "), _type("n_"), default, F.when(F.col("n_nullable"), "").otherwise(" NOT NULL"))
-    opening, closing = ADD.get(dialect, " ADD COLUMN "), ")" if dialect in ("oracle", "tibero") else ""
-    needs_value = ~F.col("n_nullable") & F.col("n_default_value").isNull()
-    added = F.when(F.col("o_name").isNull(), _row("changed tables", F.col("n_name"), F.concat(table, F.lit(opening), defined, F.lit(closing)), F.when(needs_value, "data").otherwise("")))
-    dropped = F.when(F.col("n_name").isNull(), _row("changed tables", F.col("o_name"), F.concat(F.lit("-- "), table, F.lit(" DROP COLUMN "), name("o_name")), F.lit("delete")))
     shrinks = (F.col("n_length") < F.col("o_length")) | (F.col("n_scale") < F.col("o_scale"))
     family = lambda p: java_type(F.col(f"{p}native_type"), F.col(f"{p}length"), F.col(f"{p}scale"))
     risky = F.coalesce(shrinks, F.lit(False)) | ~family("o_").eqNullSafe(family("n_"))
+    parts = {
+        "x_risky": risky, "x_table": F.concat(F.lit("ALTER TABLE "), quoted(F.coalesce("before", "after"), dialect)), "x_new": name("n_name"), "x_old": name("o_name"), "x_type": _type("n_"),
+        "x_defined": F.concat(name("n_name"), F.lit(" "), _type("n_"), default, F.when(F.col("n_nullable"), "").otherwise(" NOT NULL")),
+    }
+    both = scratch(old.sparkSession, both.join(tables, "t").withColumns(parts), "alter-texts")  # pieces that many statements use
+    table, defined, risky = F.col("x_table"), F.col("x_defined"), F.col("x_risky")
+    opening, closing = ADD.get(dialect, " ADD COLUMN "), ")" if dialect in ("oracle", "tibero") else ""
+    needs_value = ~F.col("n_nullable") & F.col("n_default_value").isNull()
+    added = F.when(F.col("o_name").isNull(), _row("changed tables", F.col("n_name"), F.concat(table, F.lit(opening), defined, F.lit(closing)), F.when(needs_value, "data").otherwise("")))
+    dropped = F.when(F.col("n_name").isNull(), _row("changed tables", F.col("o_name"), F.concat(F.lit("-- "), table, F.lit(" DROP COLUMN "), F.col("x_old")), F.lit("delete")))
     kept = F.col("o_name").isNotNull() & F.col("n_name").isNotNull()
     differ = lambda *fs: ~_same(fs)
-    retyped, redefault, renull = _column_changes(dialect, table, name("n_name"), defined, kept, differ, risky)
+    retyped, redefault, renull = _column_changes(dialect, table, F.col("x_new"), defined, kept, differ, risky)
     changed = both.where("before is not null and after is not null")
     rows = changed.select("t", F.explode(F.array_compact(F.array(added, retyped, redefault, renull, dropped))).alias("r")).select("t", "r.*")
     moved = changed.groupBy("t").agg(F.max(F.col("o_name").isNull()).alias("gains"), F.max(F.col("n_name").isNull()).alias("loses")).where("gains and loses")
@@ -66,7 +70,7 @@ def _column_changes(dialect: str, table: Column, column: Column, defined: Column
 
     MariaDB and MySQL define the whole column anew, SQL Server its type with its nullability; its defaults are constraints, of
     which one that stands can only be dropped by the name that the server gave it, so that is left to a hand (a comment)."""
-    name, type_, default = F.col("n_name"), _type("n_"), F.col("n_default_value")
+    name, type_, default = F.col("n_name"), F.col("x_type"), F.col("n_default_value")
     typed, nulled, defaulted = kept & differ("native_type", "length", "scale"), kept & differ("nullable"), kept & differ("default_value")
     row = lambda when, text, tag=None: F.when(when, _row("changed tables", name, F.concat(table, *text), tag))
     tightens = nulled & ~F.col("n_nullable")
@@ -116,11 +120,14 @@ def _key_rows(old: DataFrame, new: DataFrame, tables: DataFrame, dialect: str) -
     a, b = shaped(old).join(tables.where("after is not null").select("t"), "t", "left_semi"), shaped(new)
     on = ["t", "k", "kind", "columns", "ref_table", "ref_columns", "condition"]
     match = lambda x, y: reduce(lambda p, q: p & q, [x[c].eqNullSafe(y[c]) for c in on])
-    lost, gained = a.join(b, match(a, b), "left_anti"), b.join(a, match(b, a), "left_anti")
-    name, table = quoted(F.col("name"), dialect), F.concat(F.lit("ALTER TABLE "), quoted(F.col("t"), dialect))
     listed = lambda c: F.array_join(F.transform(c, lambda x: quoted(x, dialect)), ", ")
     kind = F.col("kind")
-    on_table = F.concat(F.lit(" ON "), quoted(F.col("t"), dialect)) if mysql or dialect == "mssql" else F.lit("")
+    texts = {"q_name": quoted(F.col("name"), dialect), "q_table": quoted(F.col("t"), dialect), "q_named": quoted(F.coalesce("name", F.concat(kind, F.lit("_"), "t")), dialect), "q_columns": listed("columns"), "q_ref": quoted(F.col("ref_table"), dialect), "q_refs": listed("ref_columns")}
+    of = lambda df, side: df.withColumns(texts).withColumn("side", F.lit(side))
+    both = scratch(old.sparkSession, of(a.join(b, match(a, b), "left_anti"), "lost").union(of(b.join(a, match(b, a), "left_anti"), "gained")), "alter-keys")
+    lost, gained = both.where("side = 'lost'"), both.where("side = 'gained'")
+    name, table = F.col("q_name"), F.concat(F.lit("ALTER TABLE "), F.col("q_table"))
+    on_table = F.concat(F.lit(" ON "), "q_table") if mysql or dialect == "mssql" else F.lit("")
     by_name = F.concat(table, F.lit(" DROP CONSTRAINT "), name)
     dropped = F.when(kind == "IX", F.concat(F.lit("DROP INDEX "), name, on_table))
     if mysql:
@@ -128,12 +135,12 @@ def _key_rows(old: DataFrame, new: DataFrame, tables: DataFrame, dialect: str) -
     dropped = dropped.otherwise(by_name)
     shape = F.concat(kind, F.lit("("), F.coalesce("condition", F.array_join("columns", ",")), F.lit(")"))
     unnamed = F.col("name").isNull() & ~((kind == "PK") & F.lit(mysql))
-    drop = F.when(unnamed, F.concat(F.lit("-- the name of "), shape, F.lit(" on "), quoted(F.col("t"), dialect), F.lit(" is not known: DROP it by hand"))).otherwise(dropped)
-    named = quoted(F.coalesce("name", F.concat(kind, F.lit("_"), "t")), dialect)
-    body = F.when(kind == "FK", F.concat(F.lit("FOREIGN KEY ("), listed("columns"), F.lit(") REFERENCES "), quoted(F.col("ref_table"), dialect), F.lit(" ("), listed("ref_columns"), F.lit(")")))
-    body = body.when(kind == "CK", F.concat(F.lit("CHECK ("), "condition", F.lit(")"))).when(kind == "PK", F.concat(F.lit("PRIMARY KEY ("), listed("columns"), F.lit(")"))).otherwise(F.concat(F.lit("UNIQUE ("), listed("columns"), F.lit(")")))
+    drop = F.when(unnamed, F.concat(F.lit("-- the name of "), shape, F.lit(" on "), "q_table", F.lit(" is not known: DROP it by hand"))).otherwise(dropped)
+    named = F.col("q_named")
+    body = F.when(kind == "FK", F.concat(F.lit("FOREIGN KEY ("), F.col("q_columns"), F.lit(") REFERENCES "), F.col("q_ref"), F.lit(" ("), F.col("q_refs"), F.lit(")")))
+    body = body.when(kind == "CK", F.concat(F.lit("CHECK ("), "condition", F.lit(")"))).when(kind == "PK", F.concat(F.lit("PRIMARY KEY ("), F.col("q_columns"), F.lit(")"))).otherwise(F.concat(F.lit("UNIQUE ("), F.col("q_columns"), F.lit(")")))
     made = F.concat(table, F.lit(" ADD "), F.when((kind == "PK") & F.lit(mysql), "").otherwise(F.concat(F.lit("CONSTRAINT "), named, F.lit(" "))), body)
-    make = F.when(kind == "IX", F.concat(F.lit("CREATE INDEX "), named, F.lit(" ON "), quoted(F.col("t"), dialect), F.lit(" ("), listed("columns"), F.lit(")"))).otherwise(made)
+    make = F.when(kind == "IX", F.concat(F.lit("CREATE INDEX "), named, F.lit(" ON "), F.col("q_table"), F.lit(" ("), F.col("q_columns"), F.lit(")"))).otherwise(made)
     place = lambda x: SECTIONS.index(x) + 1
     section = lambda fk, other: F.when(kind == "FK", place(fk)).when(kind.isin("PK", "CK"), place("changed tables")).otherwise(place(other)).alias("section")
     shown = F.coalesce("name", kind).alias("name")
