@@ -124,6 +124,25 @@ def test_quality_fit_is_the_optimum():
     assert share == pytest.approx(good.mean(), abs=0.01) and ((scores >= quality.CUT) == (z @ ranker.w >= ranker.threshold)).mean() > 0.995
 
 
+def test_quality_learns_from_all_pairs_of_all_rows(spark):
+    """Weights against the gradient over all pairs, threshold and means against numpy, over more rows than any sample had."""
+    rnd = random.Random(4)
+    for n in (500, 24_000):
+        texts = ["".join(rnd.choice(("ab cd ", "efg ", "hi, ", "3 ", "X. ", "jk\n")) for _ in range(rnd.randrange(1, 9))) for _ in range(n)]
+        good = np.array([rnd.random() < (0.75 if "3" in t else 0.35) for t in texts])
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        model = quality.train(df, spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int"))
+        x = quality.features(texts).astype(float)
+        assert np.abs(model.mean - x.mean(axis=0)).max() < 1e-5
+        z = (x - model.mean) * model.scale
+        s = z @ model.w
+        assert model.threshold == pytest.approx(np.quantile(s, 1 - good.mean()), abs=1e-9)
+        if n == 500:
+            p = 1 / (1 + np.exp(s[good][:, None] - s[~good]))
+            gradient = p.mean(axis=1) @ z[good] / good.sum() - p.mean(axis=0) @ z[~good] / (~good).sum() - quality.RIDGE / quality.PAIRS * model.w
+            assert np.abs(gradient).max() < 1e-5
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     ranker = quality.train(odd, labels)
