@@ -47,19 +47,21 @@ def spaced(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The template of a spaced text: as many words as the text has, some of them perhaps empty."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)] )\p{Lu}[\p{L}'’-]*", NAME)
+    named = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:)] )\p{Lu}[\p{L}'’-]*", NAME)
     numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}])[$€£+-]?[0-9][0-9.,:/]*%?(?![\p{L}\p{N}])", NUMBER)
-    united = F.regexp_replace(numbered, rf"({NUMBER}[.,]?) (?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}")
+    unit = rf"({NUMBER}[.,]?) (?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+    united = let(numbered, lambda t: F.when(t.contains(NUMBER), F.regexp_replace(t, unit, f"$1 {UNIT}")).otherwise(t))
     return F.regexp_replace(F.lower(united), r"[^\p{L}\p{N}‹› ]+", "")
 
 
 def template(text: Column) -> Column:
-    return F.array_remove(F.split(canonical(spaced(text)), " "), "")
+    """The words of a spaced text's template."""
+    return F.array_remove(F.split(canonical(text), " "), "")
 
 
 def plain(text: Column) -> Column:
-    """The words of a text in lower case without punctuation but that between digits; word by word those of its template."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(spaced(text)), r"[^\p{L}\p{N} .,:/-]+|[.,:/-](?![0-9])|(?<![0-9])[.,:/-]", ""), " "), "")
+    """The words of a spaced text in lower case without punctuation but that between digits; word by word those of its template."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"(?![a-z0-9 ])(?:[^\p{L}\p{N} .,:/-]+|[.,:/-](?![0-9])|(?<![0-9])[.,:/-])", ""), " "), "")
 
 
 def let(value: Column, make) -> Column:
@@ -82,6 +84,21 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def window_key(hashes: Column, at: Column, n: int) -> Column:
+    """One hash of the n words from place `at` (from 0); null if there are fewer."""
+    return F.when(at + n <= F.size(hashes), F.xxhash64(*(F.get(hashes, at + k) for k in range(n))))
+
+
+def window_keys(rows: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
+    """keys, h: window_key of all windows of the given lengths of each row, of its plain words and, where these are others, of its template words."""
+    lists = rows.select(*keys, spaced(F.col(text)).alias("t")).select(*keys, word_hashes(template(F.col("t"))).alias("ch"), word_hashes(plain(F.col("t"))).alias("ph"))
+    size = F.greatest(F.size("ch"), F.size("ph"))
+    places = lists.select("*", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("at"))  # a where() would be computed from the text
+    hashed = places.select(*keys, *(window_key(F.col(c), F.col("at"), n).alias(f"{c}{n}") for n in lengths for c in ("ph", "ch")))
+    made = [F.array(F.col(f"ph{n}"), F.when(~F.col(f"ch{n}").eqNullSafe(F.col(f"ph{n}")), F.col(f"ch{n}"))) for n in lengths]
+    return hashed.select(*keys, F.explode(made[0] if len(made) == 1 else F.concat(*made)).alias("h")).where("h is not null")
+
+
 def within_bound(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """df to be broadcast, if its rows of about row_bytes bytes keep within BROADCAST_BYTES. df is a written table, so counting is cheap."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
@@ -92,7 +109,7 @@ def placed_windows(rows: DataFrame, keys: list[str], text: str, lengths: list[in
 
     They have the given lengths; without lengths WINDOW words, or all words of a shorter template.
     """
-    lists = rows.select(*keys, template(F.col(text)).alias("c"), plain(F.col(text)).alias("p"))
+    lists = rows.select(*keys, spaced(F.col(text)).alias("t")).select(*keys, template(F.col("t")).alias("c"), plain(F.col("t")).alias("p"))
     lists = lists.withColumns({"ch": word_hashes(F.col("c")), "ph": word_hashes(F.col("p"))})
 
     def of_length(n: int) -> Column:
@@ -145,12 +162,11 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text_col: str = "text"
     bench = scratch(spark, bench, "benchmark-windows")
     sizes = bench.groupBy("item").agg(F.countDistinct("place").alias("n"), F.countDistinct(F.when(F.col("literal"), F.col("place"))).alias("literal_n"))
     most = F.lit(RUN - WINDOW + 1)
-    known = scratch(spark, bench.select("h").distinct(), "benchmark-hashes")
     lengths = sorted({WINDOW} | {r["size"] for r in bench.select("size").distinct().collect()})  # WINDOW different ones at most
-    every = lambda hashes: F.concat(*(window_hashes(hashes, n) for n in lengths))
-    texts = docs.select(F.md5(text_col).alias("digest"), word_hashes(template(F.col(text_col))).alias("ch"), word_hashes(plain(F.col(text_col))).alias("ph"))
-    hashes = F.when(F.col("ch") == F.col("ph"), every(F.col("ph"))).otherwise(F.concat(every(F.col("ph")), every(F.col("ch"))))
-    hits = texts.select("digest", F.explode(hashes).alias("h")).join(within_bound(known), "h", "left_semi").select("digest").distinct()
+    their_key = F.coalesce(*(F.when(F.col("size") == n, window_key(F.col("hashes"), F.lit(0), n)) for n in lengths))
+    known = scratch(spark, bench.select("size", word_hashes(F.col("words")).alias("hashes")).select(their_key.alias("h")).distinct(), "benchmark-hashes")
+    own_keys = window_keys(docs.select(F.md5(text_col).alias("digest"), F.col(text_col).alias("text")), ["digest"], "text", lengths)
+    hits = own_keys.join(within_bound(known), "h", "left_semi").select("digest").distinct()
     hits = scratch(spark, hits, "hit-texts")
     found = docs.select(F.md5(text_col).alias("digest"), F.col(text_col).alias("t")).join(within_bound(hits), "digest", "left_semi")
     found = scratch(spark, found.groupBy("digest").agg(F.first("t").alias("t")), "hit-texts-whole")

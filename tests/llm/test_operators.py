@@ -437,6 +437,24 @@ def test_decontamination_short_items_at_each_offset(spark):
     assert got == {(i, i // 100, 1.0) for i, _ in rows}
 
 
+def test_decontamination_window_keys(spark):
+    """Keys are equal exactly for equal windows, plain or templated; the search plan makes each text's words once, in one step before its windows."""
+    texts = ["a b c a b c d", "so Tom has 5 km to go", "so Bob has 7 km to go", "one", " . ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    made = decontamination.window_keys(df, ["id"], "t", [2, 3])
+    got = collections.defaultdict(list)
+    for r in made.collect():
+        got[r.id].append(r.h)
+    windows = {0: "a b c a b c d".split(), 1: "so tom has 5 km to go".split(), 2: "so bob has 7 km to go".split()}
+    assert set(got) == set(windows)
+    assert len(got[0]) == 6 + 5 and len(set(got[0])) == 4 + 4  # no template words of its own
+    assert len(got[1]) == len(got[2]) == (6 + 5) + (5 + 5)  # "to go" and none of the longer ones is its own template
+    # plain: "km to", "to go", "km to go"; templated: all five and five
+    assert len(set(got[1]) & set(got[2])) == 3 + 5 + 5
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("‹›]+") == 1
+
+
 def test_decontamination_verbatim_and_runs(spark):
     numbers = "2 4 8 16 32 64 128 256 512 1024 2048 4096 8192 3 5 7"
     named = "when Ann met Bob she gave Bob 3 pears and then Ann told Bob that Ann had 9 more while Bob said to Ann that he wants 12 of them all"
