@@ -27,6 +27,12 @@ def size_text(total: Column) -> Column:
     return F.when(total.isNull(), "").when(mb < 1024, F.format_string("%.1f MB", mb)).otherwise(F.format_string("%.1f GB", mb / 1024))
 
 
+def mb_text(total: Column) -> Column:
+    """Bytes as MB of any size with one decimal, halves to the even one; null if unknown."""
+    mb = F.bround(total / F.lit(1024.0 * 1024.0), 1)
+    return F.when(mb.isNotNull(), F.format_string("%.1f MB", mb))
+
+
 def schema_size(schemas: DataFrame) -> DataFrame:
     """The sum of the sizes that are known; null, not zero, if none is."""
     return schemas.agg(size_text(F.sum("size_bytes")).alias("size"))
