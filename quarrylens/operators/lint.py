@@ -33,11 +33,15 @@ def _keys(constraints: DataFrame, indexes: DataFrame) -> DataFrame:
     return constraints.where(F.col("kind").isin("PK", "UQ")).select("table_name", "columns").union(indexes.select("table_name", "columns"))
 
 
+def _heads(keys: DataFrame) -> DataFrame:
+    """keys (columns) once for each beginning of its columns, from none to all of them, as `head`: what starts with some columns is then found by equality."""
+    return keys.where("columns is not null").withColumn("n", F.explode(F.sequence(F.lit(0), F.size("columns")))).withColumn("head", F.slice("columns", F.lit(1), F.col("n"))).drop("n")
+
+
 def fk_no_index(constraints: DataFrame, indexes: DataFrame) -> DataFrame:
-    fks = constraints.where("kind = 'FK'").select("table_name", "name", "columns")
-    keys = _keys(constraints, indexes).withColumnRenamed("columns", "key")
-    led = fks.join(keys, "table_name").where("array_sort(slice(key, 1, size(columns))) = array_sort(columns)").select("table_name", "name").distinct()
-    return _rule(fks.join(led, ["table_name", "name"], "left_anti"), "fkNoIndex", F.array_join("columns", ","))
+    fks = constraints.where("kind = 'FK'").select("table_name", "columns", F.array_sort("columns").alias("head"))
+    led = _heads(_keys(constraints, indexes)).select("table_name", F.array_sort("head").alias("head")).distinct()
+    return _rule(fks.join(led, ["table_name", "head"], "left_anti"), "fkNoIndex", F.array_join("columns", ","))
 
 
 def no_relation(tables: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -47,13 +51,13 @@ def no_relation(tables: DataFrame, constraints: DataFrame) -> DataFrame:
 
 
 def no_index(tables: DataFrame, constraints: DataFrame, indexes: DataFrame) -> DataFrame:
-    return _rule(tables.join(_keys(constraints, indexes), "table_name", "left_anti"), "noIndex", F.lit(""))
+    return _rule(tables.join(_keys(constraints, indexes).select("table_name").distinct(), "table_name", "left_anti"), "noIndex", F.lit(""))
 
 
 def no_pk(tables: DataFrame, constraints: DataFrame, indexes: DataFrame) -> DataFrame:
     """Tables without a primary key that do have a unique key or an index."""
-    pks = constraints.where("kind = 'PK'")
-    return _rule(tables.join(pks, "table_name", "left_anti").join(_keys(constraints, indexes), "table_name", "left_semi"), "noPk", F.lit(""))
+    pks, keyed = constraints.where("kind = 'PK'"), _keys(constraints, indexes).select("table_name").distinct()
+    return _rule(tables.join(pks, "table_name", "left_anti").join(keyed, "table_name", "left_semi"), "noPk", F.lit(""))
 
 
 def column_counts(columns: DataFrame, most: int) -> DataFrame:
@@ -65,7 +69,8 @@ def column_counts(columns: DataFrame, most: int) -> DataFrame:
 
 def missing_required(tables: DataFrame, columns: DataFrame, required: list[str]) -> DataFrame:
     wanted = tables.select("table_name", F.explode(F.array(*map(F.lit, required))).alias("name"))
-    return _rule(wanted.join(columns.select("table_name", F.upper("name").alias("name")), ["table_name", "name"], "left_anti"), "missingRequired", F.col("name"))
+    there = columns.select("table_name", F.upper("name").alias("name")).where(F.col("name").isin(required))
+    return _rule(wanted.join(there, ["table_name", "name"], "left_anti"), "missingRequired", F.col("name"))
 
 
 def repeated_relation(constraints: DataFrame) -> DataFrame:
@@ -95,15 +100,20 @@ def fk_type_mismatch(constraints: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def covered_index(constraints: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Indexes that are a prefix of another key of their table; a unique one only if another unique is identical; of two identical the later name."""
+    """Indexes that are a prefix of another key of their table; a unique one only if another unique is identical; of two identical the later name.
+
+    Keys are summed up by their beginnings: the least and the last name tell whether one has another name, so no index meets its table's keys one by one."""
     own = indexes.select("table_name", "name", "is_unique", "columns")
-    keys = constraints.where(F.col("kind").isin("PK", "UQ")).select("table_name", F.col("name").alias("other"), F.lit(True).alias("other_unique"), F.col("columns").alias("key"), F.lit(True).alias("constraint"))
-    keys = keys.union(indexes.select("table_name", F.col("name").alias("other"), F.col("is_unique").alias("other_unique"), F.col("columns").alias("key"), F.lit(False).alias("constraint")))
-    pairs = own.join(keys, "table_name").where("name <> other and slice(key, 1, size(columns)) = columns")
-    same = F.size("key") == F.size("columns")
-    first = F.col("constraint") | (F.col("other_unique") & ~F.col("is_unique")) | ((F.col("other_unique") == F.col("is_unique")) & (F.col("other") < F.col("name")))
-    hit = F.when(F.col("is_unique"), same & F.col("other_unique") & first).otherwise(~same | first)
-    return _rule(pairs.where(hit).select("table_name", "name").distinct(), "dupIndex", F.col("name"))
+    keys = constraints.where(F.col("kind").isin("PK", "UQ")).select("table_name", F.col("name").alias("other"), F.lit(True).alias("other_unique"), "columns", F.lit(True).alias("constraint"))
+    keys = keys.union(indexes.select("table_name", F.col("name").alias("other"), F.col("is_unique").alias("other_unique"), "columns", F.lit(False).alias("constraint")))
+    same = F.size("head") == F.size("columns")
+    kinds = {"longer": ~same, "key": same & F.col("constraint"), "unique": same & F.col("other_unique"), "plain": same & ~F.col("other_unique")}
+    ends = [end(F.when(kind, F.col("other"))).alias(f"{which}_{k}") for k, kind in kinds.items() for which, end in (("least", F.min), ("last", F.max))]
+    sums = _heads(keys).groupBy("table_name", "head").agg(*ends).withColumnRenamed("head", "columns")
+    another = lambda k: (F.col(f"least_{k}") != F.col("name")) | (F.col(f"last_{k}") != F.col("name"))
+    earlier = lambda k: F.col(f"least_{k}") < F.col("name")
+    hit = F.when(F.col("is_unique"), another("key") | earlier("unique")).otherwise(another("longer") | another("key") | (~F.col("is_unique") & (another("unique") | earlier("plain"))))
+    return _rule(own.join(sums, ["table_name", "columns"]).where(hit).select("table_name", "name").distinct(), "dupIndex", F.col("name"))
 
 
 def unique_nullable(constraints: DataFrame, columns: DataFrame) -> DataFrame:

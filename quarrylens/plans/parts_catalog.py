@@ -9,7 +9,7 @@ from quarrylens.functions import names
 from quarrylens.operators import catalog as catalogs
 from quarrylens.operators import definitions, lint, metadata
 from quarrylens.plans import alter_plans
-from quarrylens.session import table
+from quarrylens.session import scratch, table
 
 
 def parts(s, d):
@@ -26,11 +26,11 @@ def parts(s, d):
     )
 
 
-def catalog(s, d):
-    """tables, columns, constraints and indexes. The first column is the primary key of tables whose first size is even; a size
+def catalog(s, d, p=None):
+    """tables, columns, constraints and indexes, of p if the parts are at hand. The first column is the primary key of tables whose first size is even; a size
     that ends in 3 refers to the next maker's primary key, one of 13 or 33 twice; one that ends in 4 is unique; a size of 1 or 7
     modulo 12 is an index alone, and one of 1 also before the first column."""
-    p = parts(s, d)
+    p = parts(s, d) if p is None else p
     first = p.where("ordinal = 1").select("table_name", F.col("name").alias("first"), F.col("size").alias("first_size"))
     pk = first.where("first_size % 2 = 0")
     none, texts = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
@@ -108,7 +108,7 @@ SNAPSHOT = "SELECT upper(translate(p_brand, '#', '_')) AS t, 'C' || p_partkey AS
 ENDS = f"SELECT t, min(c) AS a, max(c) AS b FROM ({SNAPSHOT}) WHERE m <> 0 GROUP BY t"
 WORDS = "SELECT DISTINCT p_type, string_split(p_type, ' ') AS w FROM part"
 QUERIES = {
-    "lint_parts": (lambda s, d: lint.all_rules(*catalog(s, d), most_columns=8, required=["REG_DT"]), LINT),
+    "lint_parts": (lambda s, d: lint.all_rules(*catalog(s, d, scratch(s, parts(s, d), "parts")), most_columns=8, required=["REG_DT"]), LINT),
     "no_pk_parts": (lambda s, d: catalog(s, d)[0].join(primary(s, d), "table_name", "left_anti"), f"WITH {CATALOG} SELECT t AS table_name FROM ts WHERE t NOT IN (SELECT t FROM pk)"),
     "key_info_parts": (
         lambda s, d: definitions.key_info(catalog(s, d)[1], catalog(s, d)[2]),
